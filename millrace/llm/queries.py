@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import shared_dir, table
 from millrace.llm.packing import pack_documents
+from millrace.llm.simhash import simhash_components
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_store import read_digests, write_store
 
@@ -24,12 +25,16 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_store, op8_token_counts)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_store, op6_simhash, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
