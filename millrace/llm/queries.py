@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import shared_dir, table
+from millrace.llm.decontaminate import decontaminate
 from millrace.llm.packing import pack_documents
 from millrace.llm.simhash import simhash_components
 from millrace.llm.token_counts import token_counts
@@ -33,8 +34,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_store, op6_simhash, op8_token_counts)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_store, op6_simhash, op8_token_counts, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
