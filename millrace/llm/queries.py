@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import shared_dir, table
 from millrace.llm.decontaminate import decontaminate
+from millrace.llm.embedding_dedup import embedding_components
 from millrace.llm.packing import pack_documents
 from millrace.llm.simhash import simhash_components
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_store import read_digests, write_store
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,7 +44,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_token_store, op6_simhash, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_best_fit_packing, op4_token_store, op6_simhash, op8_token_counts, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

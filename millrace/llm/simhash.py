@@ -119,12 +119,18 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
 
 
 def in_blocks(keyed: DataFrame, key: str, member: str, block: int) -> DataFrame:
-    """Add block: rows of a key with more than ``block`` rows go to several, so that any two meet in one."""
+    """Add block, own, cross: rows of a key with more than ``block`` rows go to several blocks, so any two meet.
+
+    own is a row's chunk of its key. Rows of different chunks meet in one block, whose cross is
+    true; rows of one chunk meet in the one block whose cross is false, and also where it is true.
+    """
     large = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
     chunks = F.ceil(F.coalesce(F.col("__n"), F.lit(1)) / F.lit(block)).cast("long")
-    own = F.pmod(F.xxhash64(F.col(member)), chunks)
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.least(j, own) * chunks + F.greatest(j, own))
-    return keyed.join(large, key, "left").withColumn("block", F.explode(meet)).drop("__n")
+    dealt = keyed.join(large, key, "left").withColumn("__c", chunks)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col(member)), F.col("__c")))
+    dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1)))
+    meet = F.least("__j", "own") * F.col("__c") + F.greatest("__j", "own")
+    return dealt.withColumn("block", meet).withColumn("cross", F.col("__j") != F.col("own")).drop("__n", "__c", "__j")
 
 
 def link_blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:

@@ -20,16 +20,16 @@ CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 BYTE_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
 BYTE_PIECES = re.compile(
-    rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+    rf" ?[{LETTERS}]+|{CONTRACTIONS}| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 )
 WORD_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ž]*")
-WORD_PIECES = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+WORD_PIECES = re.compile(rf"[{LETTERS}]+|{CONTRACTIONS}|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 #: What WORD_PIECES stands for, as a tokenizer file writes it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 #: Words remembered by one worker; a bound on memory (about 200 bytes each), not on what is encoded.
-MEMORY = 400_000
+MEMORY = 1_200_000
 SPECIAL = "<|"
 
 
@@ -47,6 +47,17 @@ def family(spec: dict) -> str | None:
     return None
 
 
+class Memory(dict):
+    """Pieces and their ids; a piece not yet known is noted in ``new`` and stands for itself meanwhile."""
+
+    def __init__(self):
+        self.new: set[str] = set()
+
+    def __missing__(self, piece: str) -> str:
+        self.new.add(piece)
+        return piece
+
+
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers in bytes."""
 
@@ -58,19 +69,20 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             self.family = family(json.load(f))
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = {"byte": BYTE_PLAIN, "word": WORD_PLAIN}.get(self.family)
         cut = {"byte": BYTE_PIECES, "word": WORD_PIECES}.get(self.family)
         quick = [bool(plain) and SPECIAL not in t and plain.fullmatch(t) is not None for t in texts]
         whole = iter(self._library([t for t, q in zip(texts, quick, strict=True) if not q]))
-        lower = self.family == "word"
-        pieces = [cut.findall(t.lower() if lower else t) if q else None for t, q in zip(texts, quick, strict=True)]
-        if new := list(set().union(*filter(None, pieces)).difference(self.memory)):
+        lower, ids = self.family == "word", self.memory.__getitem__
+        found = [list(map(ids, cut.findall(t.lower() if lower else t))) if q else None for t, q in zip(texts, quick, strict=True)]
+        if new := list(self.memory.new):
+            self.memory.new.clear()
             self._learn(new)
-        known = self.memory.__getitem__
-        out = [next(whole) if p is None else b"".join(map(known, p)) for p in pieces]
+            found = [f and [ids(x) if x.__class__ is str else x for x in f] for f in found]
+        out = [next(whole) if f is None else b"".join(f) for f in found]
         if len(self.memory) > MEMORY:  # the words met first, and so the frequent ones, stay
             for w in new:
                 del self.memory[w]
@@ -81,22 +93,30 @@ class Encoder:
             return []
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new pieces. Those that stay pieces when written one after the other go in one call."""
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces. Words go in one call, apart by line ends, which are pieces of their own."""
+        words, others = [], []
         lead = " " if self.family == "byte" else ""
-        joined, single = [], []
-        for w in words:
-            (joined if w.startswith(lead) and w[len(lead) :].isalpha() else single).append(w)
-        self.memory.update(zip(single, self._library(single), strict=True))
-        if joined:
-            e = self.library.encode(("" if lead else " ").join(joined), add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            edges = np.searchsorted(at, np.arange(len(joined) + 1))
-            if at[-1] != len(joined) - 1:
-                self.memory.update(zip(joined, self._library(joined), strict=True))
-                return
-            raw, edges = ids.tobytes(), (edges * 4).tolist()
-            self.memory.update({w: raw[a:b] for w, a, b in zip(joined, edges, edges[1:], strict=False)})
+        for w in pieces:
+            (words if w.startswith(lead) and w[len(lead) :].isalpha() else others).append(w)
+        self.memory.update(zip(others, self._library(others), strict=True))
+        if not words:
+            return
+        if not lead:  # this tokenizer drops white space: the words' ends are known by their number only
+            e = self.library.encode("\n".join(words), add_special_tokens=False)
+            raw, edges = np.array(e.ids, "<u4").tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(words) + 1))
+            edges = (edges * 4).tolist()
+            spans = list(zip(edges, edges[1:], strict=False))
+        else:
+            ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            if not self.memory.get("\n"):
+                self.memory["\n"] = self._library(["\n"])[0]
+            (line_end,) = ids_of(self.memory["\n"])
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == line_end) * 4).tolist()
+            spans = list(zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True))
+        if len(spans) != len(words):
+            raise ValueError("the tokenizer's file does not cut words as its pattern says")
+        self.memory.update((w, raw[a:b]) for w, (a, b) in zip(words, spans, strict=True))
 
 
 _loaded: dict[str, Encoder] = {}
@@ -111,5 +131,3 @@ def encoder(path: str) -> Encoder:
 
 def ids_of(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4")
-
-
