@@ -7,10 +7,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.common import shared_dir, table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.embedding_dedup import embedding_components
+from millrace.llm.langid import Model, fold, identify, train
 from millrace.llm.packing import pack_documents
 from millrace.llm.simhash import simhash_components
 from millrace.llm.token_counts import token_counts
@@ -31,6 +33,16 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> Model:
+    """Learned from the documents whose fold of three is not 1."""
+    return train(table(spark, sf_dir, "documents").filter(fold("doc_id", 3) != 1))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -44,7 +56,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_best_fit_packing, op4_token_store, op6_simhash, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_best_fit_packing, op4_token_store, op5_language_id, op6_simhash, op8_token_counts, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
