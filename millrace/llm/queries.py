@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import toxicity
 from millrace.llm.common import shared_dir, table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.embedding_dedup import embedding_components
@@ -23,6 +24,18 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from the labelled documents whose fold of five is not 0."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.train(docs.join(labels.filter(fold("doc_id", 5) != 0), "doc_id"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,7 +69,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_best_fit_packing, op4_token_store, op5_language_id, op6_simhash, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_best_fit_packing, op4_token_store, op5_language_id, op6_simhash, op8_token_counts, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
