@@ -14,6 +14,7 @@ from millrace.llm.common import shared_dir, table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.embedding_dedup import embedding_components
 from millrace.llm.langid import Model, fold, identify, train
+from millrace.llm.licenses import license_scan
 from millrace.llm.packing import pack_documents
 from millrace.llm.simhash import simhash_components
 from millrace.llm.token_counts import token_counts
@@ -68,8 +69,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_detections", F.size("detections")).drop("detections")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_best_fit_packing, op4_token_store, op5_language_id, op6_simhash, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_best_fit_packing, op4_token_store, op5_language_id, op6_simhash, op8_token_counts, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
