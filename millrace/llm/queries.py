@@ -16,6 +16,7 @@ from millrace.llm.embedding_dedup import embedding_components
 from millrace.llm.langid import Model, fold, identify, train
 from millrace.llm.licenses import license_scan
 from millrace.llm.packing import pack_documents
+from millrace.llm.quality import quality
 from millrace.llm.simhash import simhash_components
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_store import read_digests, write_store
@@ -61,6 +62,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -75,7 +80,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_best_fit_packing, op4_token_store, op5_language_id, op6_simhash, op8_token_counts, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_best_fit_packing, op4_token_store, op5_language_id, op6_simhash, op7_quality, op8_token_counts, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
