@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: Rows of text in one Arrow batch: bounds a Python worker's memory with long documents.
@@ -86,3 +87,8 @@ def running_total(df: DataFrame, order: str, value: str, total: str) -> DataFram
 def only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The named columns of df; whatever else the table has cannot clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def with_fields(df: DataFrame, column: str, ddl: str) -> StructType:
+    """The schema of a column of df, of any type and name, followed by the fields of ``ddl``."""
+    return StructType([df.schema[column], *StructType.fromDDL(ddl).fields])

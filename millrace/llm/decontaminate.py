@@ -19,9 +19,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from millrace.llm.common import arrow_batches, materialise, only, spread
+from millrace.llm.common import arrow_batches, materialise, only, spread, with_fields
 
 WINDOW, GRAM = 10, 5
 RUN = WINDOW - GRAM + 1
@@ -124,7 +125,6 @@ def prints(h: np.ndarray, starts: np.ndarray, short: list[int], bitmap: np.ndarr
 
 def winnowed(texts: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray | None = None, short: list[int] = [], whole_items: bool = False) -> DataFrame:  # noqa: B006
     """Per row of texts: row (unique), id, n_words, prints."""
-    kind = dict(texts.dtypes)[id_col]
     shared = texts.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def winnowed(texts: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray |
             )
             row += b.num_rows
 
-    return spread(only(texts, [id_col, text_col])).mapInArrow(go, f"row long, `{id_col}` {kind}, n_words long, prints {HIT}")
+    return spread(only(texts, [id_col, text_col])).mapInArrow(go, StructType([StructField("row", LongType()), *with_fields(texts, id_col, f"n_words long, prints {HIT}").fields]))
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:

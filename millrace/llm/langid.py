@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_batches, only, spread
+from millrace.llm.common import arrow_batches, only, spread, with_fields
 
 #: Training texts at most, about; all languages together, drawn by a hash of the id.
 SAMPLE = 6_000
@@ -212,7 +212,6 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, id_col: s
     """
     arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    ids_type = dict(docs.dtypes)[id_col]
     span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,4 +251,4 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, id_col: s
         if columns:
             yield answer(columns, texts)
 
-    return spread(only(docs, [id_col, text_col])).mapInArrow(label, f"`{id_col}` {ids_type}, lang_pred string, score double, spans array<struct<lang: string, first: long, last: long>>")
+    return spread(only(docs, [id_col, text_col])).mapInArrow(label, with_fields(docs, id_col, "lang_pred string, score double, spans array<struct<lang: string, first: long, last: long>>"))

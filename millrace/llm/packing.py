@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.llm.common import arrow_batches, materialise, only, spread
+from millrace.llm.common import arrow_batches, materialise, only, spread, with_fields
 from millrace.llm.tokens import encoder
 
 #: Pieces packed together by one task.
@@ -45,8 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int
             columns = [b.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return spread(only(docs, [id_col, text_col])).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return spread(only(docs, [id_col, text_col])).mapInArrow(cut, with_fields(docs, id_col, "piece int, start long, length long, ids_crc32 long"))
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ def pack(cut: DataFrame, *, capacity: int = 4096, group: int = GROUP, id_col: st
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
         return pdf.assign(sequence_id=(pdf["__group"].to_numpy(np.int64) << 32) + bins, offset=offsets).drop(columns="__group")
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes) + ", sequence_id long, offset long"
+    schema = StructType([*cut.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
     dealt = cut.withColumn("__group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)).cast("int"))
     return dealt.groupBy("__group").applyInPandas(place, schema)
 

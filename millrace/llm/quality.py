@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_batches, materialise, only, spread
+from millrace.llm.common import arrow_batches, materialise, only, spread, with_fields
 
 #: Texts the linear model is fitted on at most, about, drawn by a hash of their id.
 SAMPLE = 8_000
@@ -171,7 +171,6 @@ def quality(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    kind = dict(docs.dtypes)[id_col]
     texts = spread(only(docs, [id_col, text_col]))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +179,7 @@ def quality(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", te
             cast = np.array([votes(t) for t in pc.fill_null(b.column(1), "").to_pylist()], np.int64).reshape(b.num_rows, len(LABELLERS))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cast @ powers)], [id_col, "pattern"])
 
-    voted = materialise(texts.mapInArrow(vote, f"`{id_col}` {kind}, pattern long"), "votes")
+    voted = materialise(texts.mapInArrow(vote, with_fields(docs, id_col, "pattern long")), "votes")
     seen = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toArrow()
     pattern, n = seen.column("pattern").to_numpy(), seen.column("n").to_numpy().astype(float)
     good = posterior(pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, n)
@@ -198,7 +197,7 @@ def quality(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", te
             cast = np.array([votes(t) for t in held], np.int64).reshape(len(held), len(LABELLERS)) @ powers
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cast), pa.array(rows, pa.binary())], [id_col, "pattern", "buckets"])
 
-    got = picked.mapInArrow(measure, f"`{id_col}` {kind}, pattern long, buckets binary").orderBy(id_col, "pattern").toArrow()
+    got = picked.mapInArrow(measure, with_fields(docs, id_col, "pattern long, buckets binary")).orderBy(id_col, "pattern").toArrow()
     rows = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got.column("buckets").to_pylist()]
     shared = spark.sparkContext.broadcast((fit(rows, of_pattern[got.column("pattern").to_numpy()]), of_pattern))
 
@@ -213,4 +212,4 @@ def quality(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", te
             columns = [b.column(0), pa.array(cast.tolist(), pa.list_(pa.int32())), pa.array(chances[cast @ powers]), pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "votes", "posterior", "score", "predicted"])
 
-    return texts.mapInArrow(rate, f"`{id_col}` {kind}, votes array<int>, posterior double, score double, predicted int")
+    return texts.mapInArrow(rate, with_fields(docs, id_col, "votes array<int>, posterior double, score double, predicted int"))

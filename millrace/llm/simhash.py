@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_batches, materialise, only, spread
+from millrace.llm.common import arrow_batches, materialise, only, spread, with_fields
 from millrace.llm.components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
             out = np.array([fingerprint(t.translate(LOWER).split(), shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], [id_col, "print"])
 
-    return spread(only(docs, [id_col, text_col])).mapInArrow(hashed, f"`{id_col}` {dict(docs.dtypes)[id_col]}, print long")
+    return spread(only(docs, [id_col, text_col])).mapInArrow(hashed, with_fields(docs, id_col, "print long"))
 
 
 def in_blocks(keyed: DataFrame, key: str, member: str, block: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import arrow_batches, only, spread
+from millrace.llm.common import arrow_batches, only, spread, with_fields
 from millrace.llm.tokens import Encoder, encoder
 
 STABLE = re.compile(r"(?<=[A-Za-z0-9])(?= )")
@@ -93,5 +93,4 @@ def token_counts(
             n_bytes = pc.cast(pc.binary_length(pc.cast(texts, pa.binary())), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, n, pc.greater(n, limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return spread(only(docs, [id_col, text_col])).mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return spread(only(docs, [id_col, text_col])).mapInArrow(count, with_fields(docs, id_col, "n_bytes long, n_tokens long, over_limit boolean"))

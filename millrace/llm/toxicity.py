@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_batches, only, spread
+from millrace.llm.common import arrow_batches, only, spread, with_fields
 
 #: Labelled rows that training uses at most, about, drawn by a hash of their id.
 SAMPLE = 12_000
@@ -319,4 +319,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             p = np.interp(margins(m.trees, x, m.base), *m.knots)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return spread(only(docs, [id_col, text_col])).mapInArrow(rate, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double, predicted int")
+    return spread(only(docs, [id_col, text_col])).mapInArrow(rate, with_fields(docs, id_col, "score double, predicted int"))
