@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.common import arrow_batches, only, running_total, spread
 from millrace.llm.tokens import encoder
@@ -121,21 +122,18 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
                 ["id", "n_tokens", "hashes", "width", "ids", "part"],
             )
 
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            keep = []
-            for key, part in zip(b.column(2).to_pylist(), b.column(5).to_pylist(), strict=True):
-                keep.append(part == "recipes" or key != last)
-                last = key if part == "chunks" else None
-            yield b.filter(pa.array(keep, pa.bool_()))
-
     schema = f"id {kind}, n_tokens long, hashes binary, width int, ids binary, part string"
-    route = F.when(F.col("part") == "chunks", F.xxhash64("hashes")).otherwise(F.xxhash64("id", "n_tokens"))
+    # A chunk meets its equals; a recipe goes anywhere, so that equal documents do not pile up.
     cut = spread(only(docs, [id_col, text_col])).mapInArrow(chunked, schema)
-    dealt = cut.repartition(route).sortWithinPartitions("part", "hashes").mapInArrow(unique, schema)
+    cut = cut.withColumn("salt", F.when(F.col("part") == "recipes", F.xxhash64("id", "n_tokens")).otherwise(F.lit(0).cast("long")))
+    equal = Window.partitionBy("part", "hashes", "salt").orderBy("width")
+    dealt = cut.repartition("part", "hashes", "salt").withColumn("nth", F.row_number().over(equal))
+    dealt = dealt.filter((F.col("nth") == 1) | (F.col("part") == "recipes")).drop("salt", "nth")
     dealt.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/raw")
 
+    for part in ("chunks", "recipes"):  # an empty table writes neither
+        make_folder(spark, f"{path}/raw/part={part}")
+
     raw = spark.read.schema(schema).parquet(f"{path}/raw").filter(F.col("part") == "recipes")
 
     @F.pandas_udf("binary")
@@ -170,6 +168,11 @@ def ranges(rows: DataFrame, kind: str) -> DataFrame:
     slim = rows.select("range", "id", "start", "root").repartition("range").sortWithinPartitions("range", F.col("id").asc_nulls_first(), "start")
     return slim.select("range", "id", "root").mapInPandas(seal, f"range int, first {kind}, last {kind}, n long, root binary")
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def discard_parts(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

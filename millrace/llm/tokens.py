@@ -2,7 +2,7 @@
 
 Every id comes from the library. A text made of characters whose classes no Unicode version
 disputes is cut into the pieces that the tokenizer's own pre-tokenizer would cut; each new
-piece is encoded by the library once and remembered. Any other text, and any that may hold a
+piece is encoded by the library's model once and remembered. Any other text, and any that may hold a
 special token, goes to the library whole.
 """
 
@@ -18,6 +18,10 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼-¾"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
+#: Byte-level models' characters: a visible Latin-1 character for itself, the next from 256 on for each other byte.
+VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARACTERS = {b: chr(b if b in VISIBLE else 256 + sum(x not in VISIBLE for x in range(b))) for b in range(256)}
+
 BYTE_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
 BYTE_PIECES = re.compile(
     rf" ?[{LETTERS}]+|{CONTRACTIONS}| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
@@ -29,7 +33,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 #: Words remembered by one worker; a bound on memory (about 200 bytes each), not on what is encoded.
-MEMORY = 1_200_000
+MEMORY = 1_000_000
 SPECIAL = "<|"
 
 
@@ -94,29 +98,12 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces. Words go in one call, apart by line ends, which are pieces of their own."""
-        words, others = [], []
-        lead = " " if self.family == "byte" else ""
-        for w in pieces:
-            (words if w.startswith(lead) and w[len(lead) :].isalpha() else others).append(w)
-        self.memory.update(zip(others, self._library(others), strict=True))
-        if not words:
-            return
-        if not lead:  # this tokenizer drops white space: the words' ends are known by their number only
-            e = self.library.encode("\n".join(words), add_special_tokens=False)
-            raw, edges = np.array(e.ids, "<u4").tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(words) + 1))
-            edges = (edges * 4).tolist()
-            spans = list(zip(edges, edges[1:], strict=False))
-        else:
-            ids = np.array(self.library.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            if not self.memory.get("\n"):
-                self.memory["\n"] = self._library(["\n"])[0]
-            (line_end,) = ids_of(self.memory["\n"])
-            raw, ends = ids.tobytes(), (np.flatnonzero(ids == line_end) * 4).tolist()
-            spans = list(zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True))
-        if len(spans) != len(words):
-            raise ValueError("the tokenizer's file does not cut words as its pattern says")
-        self.memory.update((w, raw[a:b]) for w, (a, b) in zip(words, spans, strict=True))
+        """Encode new pieces by the library's model, which sees each byte as a character."""
+        tokenize = self.library.model.tokenize
+        made = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARACTERS))] for p in pieces]
+        raw = np.array([i for ids in made for i in ids], "<u4").tobytes()
+        ends = (np.cumsum([len(ids) for ids in made]) * 4).tolist()
+        self.memory.update((p, raw[a:b]) for p, a, b in zip(pieces, [0, *ends], ends, strict=False))
 
 
 _loaded: dict[str, Encoder] = {}
