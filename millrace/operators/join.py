@@ -61,7 +61,8 @@ def equi_join(
         on.append(residual)
     if config.gather:
         # Keys and positions join first; the other right columns are fetched by position.
-        numbered = number(table, right.order or table.columns, "__at")
+        order = right.order if right.order and set(right.order) <= set(table.columns) else table.columns
+        numbered = number(table, order, "__at")
         slim = numbered.select(*rk, "__at")
         out = left.df.join(_hinted(slim, config), on).drop(*rk)
         out = out.join(numbered, "__at").drop("__at")

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from millrace.types import AlgebraError, require
 
 VALID, POS = "__valid", "__pos"
+#: Before the name of an order column that a projection does not show.
+UNSEEN = "__by_"
 #: Ranges of the order key over which positions are numbered in parallel.
 RANGES = 64
 
@@ -20,7 +22,8 @@ RANGES = 64
 class Relation:
     """df with ``order``, the columns that put its rows in one total order, and ``slices``, outermost first.
 
-    Hidden columns: VALID where a mask applies, POS where positions are needed, one per slice level.
+    Hidden columns: VALID where a mask applies, POS where positions are needed, one per slice level,
+    and order columns that are not shown, which cost nothing until an order is asked for.
     """
 
     df: DataFrame
@@ -29,7 +32,7 @@ class Relation:
 
     @property
     def hidden(self) -> list[str]:
-        return [c for c in self.df.columns if c in (VALID, POS, *self.slices)]
+        return [c for c in self.df.columns if c in (VALID, POS, *self.slices) or c.startswith(UNSEEN)]
 
     @property
     def columns(self) -> list[str]:

@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
-from millrace.operators.relation import POS, VALID, Relation, positioned
+from millrace.operators.relation import POS, UNSEEN, VALID, Relation, positioned
 from millrace.types import AlgebraError, is_integral, require
 
 # --- projection ------------------------------------------------------------------------------
 
 
 def project(rel: Relation, **columns: Column | str) -> Relation:
-    """The given columns, in order, under the given names."""
+    """The given columns, in order, under the given names. The rows' order stays, shown or not."""
     chosen = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
-    order = tuple(c for c in rel.order if c in columns and isinstance(columns[c], str) and columns[c] == c)
-    kept = rel if len(order) == len(rel.order) or not rel.order else positioned(rel)
-    return Relation(kept.df.select(*chosen, *kept.hidden), order if len(order) == len(rel.order) else (POS,) if rel.order else (), kept.slices)
+    order, unseen = [], []
+    for c in rel.order:
+        shown = isinstance(columns.get(c), str) and columns[c] == c
+        order.append(c if shown or c in rel.hidden else f"{UNSEEN}{c}")
+        if order[-1] != c:
+            unseen.append(F.col(c).alias(order[-1]))
+    return Relation(rel.df.select(*chosen, *rel.hidden, *unseen), tuple(order), rel.slices)
 
 
 def evaluate(rel: Relation, expr: Column, name: str = "value") -> Relation:
