@@ -32,36 +32,47 @@ from millrace.llm.tokens import encoder
 #: Ids the rolling hash looks at, and the bounds and the mean of a chunk's ids.
 WINDOW, LEAST, MEAN, MOST = 8, 64, 256, 1024
 DIGEST = 16
+#: Ids hashed at once; a bound on memory.
+AT_ONCE = 1 << 20
 #: Hashes a task remembers as already sent; beyond it some content is sent again and dropped later.
 SENT = 2_000_000
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of ids: after a position whose rolling hash ends in zero bits, within LEAST and MOST."""
-    n = len(ids)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    rolled = mixed.copy()
-    for back in range(1, min(WINDOW, n)):
-        rolled[back:] += mixed[:-back] << np.uint64(back)
-    rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    ends, last = [], 0
-    for at in (np.flatnonzero(rolled >> np.uint64(64 - MEAN.bit_length() + 1) == 0) + 1).tolist():
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the rolling hash of the last WINDOW ids ends in zero bits.
+
+    ids may hold many documents one after the other: no chunk is cut within the first LEAST ids of a
+    document, so a window that reaches back into the document before decides nothing.
+    """
+    found = [np.empty(0, np.int64)]
+    for begin in range(0, len(ids), AT_ONCE):
+        lead = min(begin, WINDOW - 1)
+        mixed = (ids[begin - lead : begin + AT_ONCE].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        rolled = mixed.copy()
+        for back in range(1, min(WINDOW, len(mixed))):
+            rolled[back:] += mixed[:-back] << np.uint64(back)
+        rolled *= np.uint64(0xBF58476D1CE4E5B9)
+        found.append(np.flatnonzero(rolled[lead:] >> np.uint64(64 - MEAN.bit_length() + 1) == 0) + begin + 1)
+    return np.concatenate(found)
+
+
+def cut_points(found: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of the document at [start, stop): marks, but within LEAST and MOST ids of each other."""
+    ends, last = [], start
+    for at in found:
         while at - last > MOST:
             last += MOST
             ends.append(last)
         if at - last >= LEAST:
             last = at
             ends.append(last)
-    while n - last > MOST:
+    while stop - last > MOST:
         last += MOST
         ends.append(last)
-    if last < n:
-        ends.append(n)
+    if last < stop:
+        ends.append(stop)
     return ends
 
-def content(ids: np.ndarray) -> tuple[int, bytes]:
-    """Width and bytes of a chunk: 16-bit ids where all fit, else 32-bit; little-endian."""
-    return (2, ids.astype("<u2").tobytes()) if int(ids.max()) < 1 << 16 else (4, ids.astype("<u4").tobytes())
 
 def address(width: int, raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=DIGEST, salt=bytes([width])).digest()
@@ -92,10 +103,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
         for b in batches:
             row, hashes, lengths = [], [], []  # recipes
             new_hash, new_width, new_ids = [], [], []  # chunks
-            for i, raw in enumerate(enc.encode(pc.fill_null(b.column(1), "").to_pylist())):
-                ids, last, mine = np.frombuffer(raw + tail, "<u4"), 0, []
-                for end in cut_points(ids):
-                    width, held = content(ids[last:end])
+            raw = [x + tail for x in enc.encode(pc.fill_null(b.column(1), "").to_pylist())]
+            stops = np.cumsum([len(x) // 4 for x in raw])
+            ids = np.frombuffer(b"".join(raw), "<u4")
+            at = marks(ids)
+            # 16-bit ids where all of the batch fit, else 32-bit for chunks that need them.
+            narrow, wide = ids.astype("<u2").tobytes(), ids.tobytes()
+            all_fit = not len(ids) or int(ids.max()) < 1 << 16
+            splits = np.searchsorted(at, stops, side="right")
+            for i, (stop, first, then) in enumerate(zip(stops.tolist(), [0, *splits.tolist()], splits.tolist(), strict=False)):
+                start = last = stop - len(raw[i]) // 4
+                mine = []
+                for end in cut_points(at[first:then].tolist(), start, stop):
+                    width = 2 if all_fit or int(ids[last:end].max()) < 1 << 16 else 4
+                    held = narrow[2 * last : 2 * end] if width == 2 else wide[4 * last : 4 * end]
                     key = address(width, held)
                     mine.append(key)
                     last = end
@@ -107,7 +128,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
                         new_ids.append(held)
                 row.append(i)
                 hashes.append(b"".join(mine))
-                lengths.append(len(ids))
+                lengths.append(stop - start)
             k, n = len(new_hash), len(row)
             # A recipe goes wherever its hashes fall, a chunk to where its equals go.
             yield pa.RecordBatch.from_arrays(

@@ -9,7 +9,7 @@ import pytest
 
 from millrace.llm.packing import pack_documents, sum_of_squares
 from millrace.llm.token_counts import resync_count, token_counts
-from millrace.llm.token_store import address, crc_join, cut_points, merkle, read_digests, read_documents, recipes, verify_manifest, write_store
+from millrace.llm.token_store import address, crc_join, cut_points, marks, merkle, read_digests, read_documents, recipes, verify_manifest, write_store
 from millrace.llm.tokens import Encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -110,13 +110,21 @@ def test_packing_keeps_every_id_in_place(spark, texts):
     assert pack_documents(documents(spark, []), WORD).count() == 0
 
 
-def test_chunks_move_with_their_content():
+def cuts(ids, start=0):
+    return [x - start for x in cut_points([x for x in marks(ids).tolist() if x > start], start, len(ids))]
+
+
+def test_chunks_move_with_their_content(monkeypatch):
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 50_000, 20_000).astype("<u4")
-    a, b = cut_points(ids), cut_points(np.concatenate([ids[5:300], ids]))
+    a, b = cuts(ids), cuts(np.concatenate([ids[5:300], ids]))
     assert a[-1] == len(ids) and max(np.diff([0, *a])) <= 1024 and min(np.diff([0, *a[:-1]])) >= 64
     assert len({x + 295 for x in a} & set(b)) > 0.9 * len(a)
-    assert cut_points(np.zeros(5_000, "<u4"))[-1] == 5_000 and cut_points(np.array([7], "<u4")) == [1]
+    # The document before changes nothing.
+    assert cuts(np.concatenate([rng.integers(0, 9, 77).astype("<u4"), ids]), 77) == a
+    monkeypatch.setattr("millrace.llm.token_store.AT_ONCE", 900)
+    assert cuts(ids) == a
+    assert cuts(np.zeros(5_000, "<u4"))[-1] == 5_000 and cuts(np.array([7], "<u4")) == [1]
 
 
 def test_crcs_join():
