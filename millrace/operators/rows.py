@@ -10,6 +10,7 @@ from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from millrace.operators.relation import POS, UNSEEN, VALID, Relation, positioned
+from millrace.storage import materialise
 from millrace.types import AlgebraError, is_integral, require
 
 # --- projection ------------------------------------------------------------------------------
@@ -206,9 +207,9 @@ def slice_column(rel: Relation, name: str = "slice") -> Relation:
 # --- control ---------------------------------------------------------------------------------
 
 
-def block(rel: Relation) -> Relation:
-    """The relation itself: a place to materialise, which changes nothing."""
-    return rel
+def block(rel: Relation, written: bool = False) -> Relation:
+    """The same relation, as a table in the shared folder if ``written``: what comes after does not run into what is before."""
+    return rel.with_df(materialise(rel.df, "block")) if written else rel
 
 
 def connector(rel: Relation, f: Callable[[Relation], Relation]) -> Relation:

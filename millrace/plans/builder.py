@@ -19,12 +19,22 @@ from millrace.operators.relation import Relation
 from millrace.types import AlgebraError
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Choice:
-    """A parameter with several values."""
+    """A parameter with several values. Used in several places it has the same value in all of them."""
 
     values: tuple
 
+    def derive(self, f: Callable[[object], object]) -> Derived:
+        """A parameter that follows this one."""
+        return Derived(self, f)
+
+
+@dataclass(frozen=True, eq=False)
+class Derived:
+    source: Choice
+    f: Callable[[object], object]
+
 
 def choice(*values: object) -> Choice:
     if not values:
@@ -32,6 +42,15 @@ def choice(*values: object) -> Choice:
     return Choice(values)
 
 
+def settle(option: object, picked: dict[int, object]) -> object:
+    """An option's value, given those of the choices; a choice not among them has its first."""
+    if isinstance(option, Derived):
+        return option.f(settle(option.source, picked))
+    if isinstance(option, Choice):
+        return picked.get(id(option), option.values[0])
+    return option
+
+
 @dataclass(frozen=True)
 class Step:
     name: str
@@ -112,6 +131,38 @@ class Query:
     def group_by(self, *keys: str) -> Grouping:
         return Grouping(self, keys)
 
+    def reduce(self, op: str, column: str, name: str | None = None) -> Query:
+        """One row per innermost slice, or one row."""
+
+        def run(r: Relation) -> Relation:
+            out = agg.reduce_slices(r, op, column, name or column)
+            return Relation(out, (), r.slices)
+
+        return self._then("reduce", run, f"{op} {column}")
+
+    def nested_reduce(self, op: str, column: str, name: str | None = None) -> Query:
+        """Across the innermost slices, place by place."""
+        return self._then("nested_reduce", lambda r: Relation(agg.nested_reduce(r, op, column, name or column), ("place",), r.slices[:-1]), f"{op} {column}")
+
+    def nested_sum(self, column: str, mute: bool = False) -> Query:
+        """The sum over what the slices gave; with ``mute``, for a plan without slices, nothing to do."""
+        return self if mute else self.aggregate(**{column: ("sum", column)})
+
+    def count(self, name: str = "n") -> Query:
+        return self._then("count", lambda r: Relation(agg.count(r, name)), name)
+
+    def position(self, name: str = "position", relative: bool = False) -> Query:
+        return self._then("position", lambda r: rows.with_position(r, name, relative), name)
+
+    def gather(self, column: str, target: Query | Relation) -> Query:
+        """For each row the target's row at the position that a column names."""
+        other = target if isinstance(target, Query) else Query(target)
+        return self._then("gather", lambda r, right: rows.gather(r, column, right.to_relation()), column, right=Choice(tuple(other.variants())))
+
+    def complete(self, materialise: bool = False) -> Query:
+        """A place at which the rows so far may be written and read again; otherwise it changes nothing."""
+        return self._then("complete", lambda r: rows.block(r, materialise)) if materialise else self
+
     def connector(self, f: Callable[[Relation], Relation]) -> Query:
         return self._then("connector", lambda r: rows.connector(r, f))
 
@@ -120,9 +171,8 @@ class Query:
         """The first variant's relation."""
         r = self.base
         for k, s in enumerate(self.steps):
-            options = {n: v.values[0] if isinstance(v, Choice) else v for n, v in s.options.items()}
             try:
-                r = s.run(r, **options)
+                r = s.run(r, **{n: settle(v, {}) for n, v in s.options.items()})
             except AlgebraError as e:
                 raise AlgebraError(e.args[0], [self.name, *(x.name for x in self.steps[: k + 1])]) from e
         return r
@@ -132,12 +182,11 @@ class Query:
 
     def variants(self) -> Iterator[Query]:
         """A query for every combination of the choices in its steps."""
-        places = [(k, n, v.values) for k, s in enumerate(self.steps) for n, v in s.options.items() if isinstance(v, Choice)]
-        for picked in product(*(values for _, _, values in places)):
-            steps = list(self.steps)
-            for (k, n, _), value in zip(places, picked, strict=True):
-                steps[k] = replace(steps[k], options=steps[k].options | {n: value})
-            yield replace(self, steps=tuple(steps))
+        options = [v for s in self.steps for v in s.options.values()]
+        found = {id(c): c for c in (v.source if isinstance(v, Derived) else v for v in options) if isinstance(c, Choice)}
+        for values in product(*(c.values for c in found.values())):
+            picked = dict(zip(found, values, strict=True))
+            yield replace(self, steps=tuple(replace(s, options={n: settle(v, picked) for n, v in s.options.items()}) for s in self.steps))
 
     def listing(self) -> str:
         """The steps, one to a line, with their options."""
@@ -146,7 +195,7 @@ class Query:
             options = "".join(f" {n}={v}" for n, v in s.options.items() if not isinstance(v, Query) and n != "right")
             lines.append(f"  {s.name} {s.detail}{options}".rstrip())
             others = s.options.get("right")
-            others = others.values[0] if isinstance(others, Choice) else others
+            others = settle(others, {})
             if isinstance(others, Query):
                 lines += [f"    {x}" for x in others.listing().split("\n")]
         return "\n".join(lines)

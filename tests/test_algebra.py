@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from millrace.functions import bit_range, hash64, int_div, int_pow, log2_up, pow2, prefix_sum, rotate_left, rotate_right
+from millrace.functions import bit_range, hash64, host_function, int_div, int_pow, log2_up, pow2, prefix_sum, rotate_left, rotate_right
 from millrace.operators import aggregate as agg
 from millrace.operators import join, partition, rows
 from millrace.operators.join import JoinConfig
@@ -211,6 +211,30 @@ def test_variants_agree(numbers):
     assert "equi_join i = j" in q.listing() and "filter" in q.listing()
 
 
+def test_choices_are_shared_and_derived(numbers):
+    n = choice(1, 3)
+    q = Query(numbers, "base").partition("k", n).partition("i", n.derive(lambda v: v + 4)).filter(F.col("ok"), mode=choice("plain", "collect")).partition("k", n)
+    seen = [[s.options["n"] for s in v.steps if s.name == "partition"] for v in q.variants()]
+    assert seen == [[1, 5, 1]] * 2 + [[3, 7, 3]] * 2
+
+
+def test_builder_reductions(numbers):
+    q = Query(numbers).split(4)
+    assert sorted(values(q.reduce("sum", "i").to_df(), "i")) == [sum(range(28)), *(sum(range(a, a + 25)) for a in (28, 53, 78))]
+    assert values(q.reduce("sum", "i").flatten().nested_sum("i").to_df(), "i") == [sum(range(103))]
+    assert values(Query(numbers).nested_sum("i", mute=True).count().to_df(), "n") == [103]
+    assert q.nested_reduce("max", "i").to_df().count() == 28
+    placed = Query(numbers).position("p").rename(p="p", j="i").gather("p", rows.project(numbers, k="k"))
+    assert placed.to_df().count() == 103
+    assert sorted(values(Query(numbers).complete(True).filter(F.col("ok")).to_df(), "i")) == sorted(values(numbers.df.filter("ok"), "i"))
+
+
+def test_host_functions(spark):
+    twice = host_function(lambda x: 2 * x + 1, "int64")
+    got = values(spark.createDataFrame([(1,), (None,), (5,)], "x long").select(twice(F.col("x")).alias("y")), "y")
+    assert got == [3, None, 11]
+
+
 def test_renames_keep_prepend_and_replace(numbers):
     assert Query(numbers).append(z=F.lit(1), k=F.lit(2)).to_df().columns == ["i", "ok", "z", "k"]
     assert Query(numbers).prepend(z=F.lit(1)).to_df().columns == ["z", "i", "k", "ok"]
