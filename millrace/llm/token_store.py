@@ -150,7 +150,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     equal = Window.partitionBy("part", "hashes", "salt").orderBy("width")
     dealt = cut.repartition("part", "hashes", "salt").withColumn("nth", F.row_number().over(equal))
     dealt = dealt.filter((F.col("nth") == 1) | (F.col("part") == "recipes")).drop("salt", "nth")
-    dealt.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/raw")
+    # Content is all distinct: a dictionary of it is of no use, and hard compression of little.
+    packed = dealt.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.enable.dictionary", "false")
+    packed.partitionBy("part").parquet(f"{path}/raw")
 
     for part in ("chunks", "recipes"):  # an empty table writes neither
         make_folder(spark, f"{path}/raw/part={part}")
@@ -243,13 +245,18 @@ def read_digests(spark: SparkSession, path: str, kind: str = "long") -> DataFram
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, crc = [], []
-            for key, width, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            keys, widths, held = (b.column(i).to_pylist() for i in range(3))
+            for key, width, raw in zip(keys, widths, held, strict=True):
                 if address(width, raw) != key:
                     raise ValueError(f"chunk {key.hex()} does not hold what its address says")
-                ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
+            # All chunks of a width are widened to 32 bits together.
+            n = [len(raw) // width for raw, width in zip(held, widths, strict=True)]
+            wide = {w: memoryview(np.frombuffer(b"".join([r for r, x in zip(held, widths, strict=True) if x == w]), f"<u{w}").astype("<u4").tobytes()) for w in set(widths)}
+            at, crc = dict.fromkeys(wide, 0), []
+            for width, k in zip(widths, n, strict=True):
+                a = at[width]
+                at[width] = a + 4 * k
+                crc.append(zlib.crc32(wide[width][a : a + 4 * k]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["hash", "n", "crc"])
 
     sums = chunks(spark, path).mapInArrow(digest, "hash binary, n int, crc long")

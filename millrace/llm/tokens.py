@@ -52,14 +52,14 @@ def family(spec: dict) -> str | None:
 
 
 class Memory(dict):
-    """Pieces and their ids; a piece not yet known is noted in ``new`` and stands for itself meanwhile."""
+    """Pieces and their ids. One not yet known gets an empty buffer, which is noted in ``new`` and filled later."""
 
     def __init__(self):
-        self.new: set[str] = set()
+        self.new: dict[str, bytearray] = {}
 
-    def __missing__(self, piece: str) -> str:
-        self.new.add(piece)
-        return piece
+    def __missing__(self, piece: str) -> bytearray:
+        self[piece] = self.new[piece] = bytearray()
+        return self[piece]
 
 
 class Encoder:
@@ -78,18 +78,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = {"byte": BYTE_PLAIN, "word": WORD_PLAIN}.get(self.family)
         cut = {"byte": BYTE_PIECES, "word": WORD_PIECES}.get(self.family)
+        if self.memory.new:  # an error left buffers empty
+            self.memory = Memory()
         quick = [bool(plain) and SPECIAL not in t and plain.fullmatch(t) is not None for t in texts]
         whole = iter(self._library([t for t, q in zip(texts, quick, strict=True) if not q]))
         lower, ids = self.family == "word", self.memory.__getitem__
         found = [list(map(ids, cut.findall(t.lower() if lower else t))) if q else None for t, q in zip(texts, quick, strict=True)]
-        if new := list(self.memory.new):
-            self.memory.new.clear()
-            self._learn(new)
-            found = [f and [ids(x) if x.__class__ is str else x for x in f] for f in found]
+        new, self.memory.new = self.memory.new, {}
+        self._learn(new)
         out = [next(whole) if f is None else b"".join(f) for f in found]
         if len(self.memory) > MEMORY:  # the words met first, and so the frequent ones, stay
-            for w in new:
-                del self.memory[w]
+            for piece in new:
+                del self.memory[piece]
         return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -97,13 +97,15 @@ class Encoder:
             return []
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces by the library's model, which sees each byte as a character."""
+    def _learn(self, new: dict[str, bytearray]) -> None:
+        """Encode new pieces by the library's model, which sees each byte as a character, and fill their buffers."""
         tokenize = self.library.model.tokenize
-        made = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARACTERS))] for p in pieces]
+        made = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARACTERS))] for p in new]
         raw = np.array([i for ids in made for i in ids], "<u4").tobytes()
         ends = (np.cumsum([len(ids) for ids in made]) * 4).tolist()
-        self.memory.update((p, raw[a:b]) for p, a, b in zip(pieces, [0, *ends], ends, strict=False))
+        for (piece, buffer), a, b in zip(new.items(), [0, *ends], ends, strict=False):
+            self.memory[piece] = raw[a:b]
+            buffer += raw[a:b]
 
 
 _loaded: dict[str, Encoder] = {}
