@@ -24,7 +24,7 @@ from millrace.llm.common import arrow_batches, materialise, only, spread, with_f
 SAMPLE = 8_000
 BUCKETS = 1 << 16
 ROUNDS, EPOCHS, BATCH, STEP, DECAY = 200, 20, 256, 0.5, 1e-6
-MEMORY = 300_000
+MEMORY = 500_000
 GOOD, BAD, NONE = 1, 0, 2
 
 # Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
@@ -37,43 +37,42 @@ FUNCTION_WORDS = frozenset("""
 """.split())
 END = re.compile(r"[.!?。！？]['\")\]]?$")
 RUNS = re.compile(r"[^\w\s]{2,}")
+REPEATED = re.compile(r"(.)\1+")
 
 LABELLERS = ("symbols", "capitals", "distinct words", "word length", "line ends", "function words", "repeated lines", "length", "symbol runs")
-
-
-def by(good: bool, bad: bool) -> int:
-    return GOOD if good else BAD if bad else NONE
-
-
-def votes(text: str) -> list[int]:
-    """One vote of each labeller; a text without words gets bad from the one on length and no others."""
-    tokens = text.split()
-    n = len(tokens)
-    if not n:
-        return [BAD if name == "length" else NONE for name in LABELLERS]
-    chars = sum(map(len, tokens))
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    letters = sum(map(str.isalpha, text))
-    symbols = chars - sum(map(str.isalnum, text))
-    capitals = sum(map(str.isupper, text))
-    words = [t.strip(".,;:!?()[]\"'").lower() for t in tokens]
-    distinct = len(set(words)) / n**0.85  # long texts repeat more
-    known = sum(w in FUNCTION_WORDS for w in words) / n
-    ended = sum(END.search(x) is not None for x in lines) / len(lines)
-    fresh = len(set(lines)) / len(lines)
-    runs = len(RUNS.findall(text)) / n
-    s, c, length = symbols / chars, capitals / max(letters, 1), chars / n
-    return [
-        by(s < 0.08, s > 0.15),
-        by(c < 0.15, c > 0.4),
-        by(distinct > 0.5, distinct < 0.25) if n >= 20 else NONE,
-        by(3 <= length <= 9, length < 2 or length > 14),
-        by(ended > 0.6, ended < 0.2),
-        by(known > 0.08, known < 0.02) if n >= 20 else NONE,
-        by(fresh > 0.95 and len(lines) > 2, fresh < 0.7),
-        by(n >= 60, n < 15),
-        by(runs < 0.01, runs > 0.1),
+#: A pattern of votes as one number: base 3, first labeller lowest.
+POWERS = 3 ** np.arange(len(LABELLERS))
+
+
+def votes(tokens: Tokens, texts: list[str], ids: list[np.ndarray]) -> np.ndarray:
+    """One vote of each labeller for each text; a text without words gets bad from the one on length and no others."""
+    n = np.array([len(x) for x in ids], np.int64)
+    text = np.repeat(np.arange(len(n)), n)
+    rows = tokens.rows[np.concatenate([np.empty(0, np.int64), *ids])]
+    chars, letters, alnum, capitals, known, runs = (np.bincount(text, rows[:, k], len(n)) for k in range(len(TOKEN_COLUMNS)))
+    distinct = np.array([len(np.unique(tokens.word[x])) for x in ids])
+    lines = [[x for x in map(str.strip, t.split("\n")) if x] for t in texts]
+    ended = np.array([sum(END.search(x[-3:]) is not None for x in ls) / max(len(ls), 1) for ls in lines])
+    fresh = np.array([len(set(ls)) / max(len(ls), 1) for ls in lines])
+    several = np.array([len(ls) > 2 for ls in lines], bool)
+    one = np.maximum(n, 1)
+    symbol, capital, length = (chars - alnum) / np.maximum(chars, 1), capitals / np.maximum(letters, 1), chars / one
+    variety = distinct / one**0.85  # long texts repeat more
+    known, runs, enough = known / one, runs / one, n >= 20
+    good_bad = [
+        (symbol < 0.08, symbol > 0.15),
+        (capital < 0.15, capital > 0.4),
+        (enough & (variety > 0.5), enough & (variety < 0.25)),
+        ((length >= 3) & (length <= 9), (length < 2) | (length > 14)),
+        (ended > 0.6, ended < 0.2),
+        (enough & (known > 0.08), enough & (known < 0.02)),
+        (several & (fresh > 0.95), fresh < 0.7),
+        (n >= 60, n < 15),
+        (runs < 0.01, runs > 0.1),
     ]
+    cast = np.stack([np.where(good, GOOD, np.where(bad, BAD, NONE)) for good, bad in good_bad], axis=1)
+    cast[n == 0] = [BAD if name == "length" else NONE for name in LABELLERS]
+    return cast
 
 
 def posterior(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -98,31 +97,63 @@ def posterior(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return p
 
 
+#: What a token adds to its text's sums.
+TOKEN_COLUMNS = ("chars", "letters", "alnum", "capitals", "function word", "symbol runs")
+
+
 class Tokens:
-    """A worker's memory of tokens: the buckets of a token's word and of its shape."""
+    """A worker's memory of tokens: what each adds to the sums, the hash of its word and the bucket of its shape."""
 
     def __init__(self):
-        self.at, self.word, self.shape = {}, np.empty(0, np.int64), np.empty(0, np.int64)
+        self.at, self.shapes = {}, {}
+        self.word, self.shape = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.rows = np.empty((0, len(TOKEN_COLUMNS)), np.float32)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        import xxhash
-
         if len(self.at) > MEMORY:
             self.__init__()
         tokens = [t.split() for t in texts]
         if new := list(set().union(*tokens).difference(self.at)):
-            shapes = [re.sub(r"(.)\1+", r"\1\1", t.translate(SHAPE)) for t in new]
-            self.word = np.concatenate([self.word, [xxhash.xxh64_intdigest(t.lower(), 1) % BUCKETS for t in new]])
-            self.shape = np.concatenate([self.shape, [xxhash.xxh64_intdigest(t, 2) % BUCKETS for t in shapes]])
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self._learn(new)
         number = self.at.__getitem__
         return [np.fromiter(map(number, x), np.int64, len(x)) for x in tokens]
 
+    def _learn(self, new: list[str]) -> None:
+        import xxhash
+
+        words, shapes, odd = [], [], []
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        for i, t in enumerate(new):
+            if t.isalpha() and t.islower():
+                words.append(t)
+                shapes.append("aa" if len(t) > 1 else "a")
+            elif t[-1] in ",.;:!?" and (body := t[:-1]).isalpha() and body.islower():
+                words.append(body)
+                shapes.append(("aa" if len(body) > 1 else "a") + t[-1])
+            else:
+                words.append(t.strip(".,;:!?()[]\"'").lower())
+                shapes.append(REPEATED.sub(r"\1\1", t.translate(SHAPE)))
+                odd.append(i)
+        # Plain words, with or without a mark at their end, are all letters but for the mark.
+        letters = np.minimum(size, np.fromiter(map(len, words), np.int64, len(new)))
+        rows = np.stack([size, letters, letters, np.zeros_like(size), [w in FUNCTION_WORDS for w in words], np.zeros_like(size)], axis=1).astype(np.float32)
+        for i in odd:
+            t = new[i]
+            alnum = sum(map(str.isalnum, t))
+            rows[i, 1:4] = sum(map(str.isalpha, t)), alnum, sum(map(str.isupper, t))
+            rows[i, 5] = 0 if alnum == len(t) else len(RUNS.findall(t))
+        for s in set(shapes).difference(self.shapes):
+            self.shapes[s] = xxhash.xxh64_intdigest(s, 2) % BUCKETS
+        self.rows = np.concatenate([self.rows, rows])
+        self.word = np.concatenate([self.word, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))])
+        self.shape = np.concatenate([self.shape, np.fromiter(map(self.shapes.__getitem__, shapes), np.int64, len(shapes))])
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+
     def buckets(self, ids: np.ndarray) -> np.ndarray:
         """Buckets of a text's tokens, of their shapes, and of neighbours: both shapes, and whether they are the same token."""
         shape = self.shape[ids]
         pair = (shape[:-1] * 31 + shape[1:] * 7 + (ids[:-1] == ids[1:]) * 12_289 + 3) % BUCKETS
-        return np.concatenate([self.word[ids], shape, pair])
+        return np.concatenate([(self.word[ids] % np.uint64(BUCKETS)).astype(np.int64), shape, pair])
 
 
 class _Shape(dict):
@@ -174,15 +205,15 @@ def quality(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", te
     texts = spread(only(docs, [id_col, text_col]))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 3 ** np.arange(len(LABELLERS))
+        tokens = Tokens()
         for b in batches:
-            cast = np.array([votes(t) for t in pc.fill_null(b.column(1), "").to_pylist()], np.int64).reshape(b.num_rows, len(LABELLERS))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cast @ powers)], [id_col, "pattern"])
+            held = pc.fill_null(b.column(1), "").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes(tokens, held, tokens.ids(held)) @ POWERS)], [id_col, "pattern"])
 
     voted = materialise(texts.mapInArrow(vote, with_fields(docs, id_col, "pattern long")), "votes")
     seen = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toArrow()
     pattern, n = seen.column("pattern").to_numpy(), seen.column("n").to_numpy().astype(float)
-    good = posterior(pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, n)
+    good = posterior(pattern[:, None] // POWERS % 3, n)
     of_pattern = np.full(3 ** len(LABELLERS), 0.5)
     of_pattern[pattern] = good
 
@@ -190,12 +221,12 @@ def quality(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", te
     picked = texts.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, powers = Tokens(), 3 ** np.arange(len(LABELLERS))
+        tokens = Tokens()
         for b in batches:
             held = pc.fill_null(b.column(1), "").to_pylist()
-            rows = [tokens.buckets(i).astype(np.uint16).tobytes() for i in tokens.ids(held)]
-            cast = np.array([votes(t) for t in held], np.int64).reshape(len(held), len(LABELLERS)) @ powers
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cast), pa.array(rows, pa.binary())], [id_col, "pattern", "buckets"])
+            ids = tokens.ids(held)
+            rows = [tokens.buckets(i).astype(np.uint16).tobytes() for i in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes(tokens, held, ids) @ POWERS), pa.array(rows, pa.binary())], [id_col, "pattern", "buckets"])
 
     got = picked.mapInArrow(measure, with_fields(docs, id_col, "pattern long, buckets binary")).orderBy(id_col, "pattern").toArrow()
     rows = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got.column("buckets").to_pylist()]
@@ -203,13 +234,13 @@ def quality(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", te
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (model, chances), tokens = shared.value, Tokens()
-        powers = 3 ** np.arange(len(LABELLERS))
         for b in batches:
             held = pc.fill_null(b.column(1), "").to_pylist()
-            cast = np.array([votes(t) for t in held], np.int64).reshape(len(held), len(LABELLERS))
-            margin = np.array([model.weights[x].mean() if len(x) else 0.0 for x in map(tokens.buckets, tokens.ids(held))]) + model.bias
+            ids = tokens.ids(held)
+            cast = votes(tokens, held, ids)
+            margin = np.array([model.weights[x].mean() if len(x) else 0.0 for x in map(tokens.buckets, ids)]) + model.bias
             p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-            columns = [b.column(0), pa.array(cast.tolist(), pa.list_(pa.int32())), pa.array(chances[cast @ powers]), pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
+            columns = [b.column(0), pa.array(cast.tolist(), pa.list_(pa.int32())), pa.array(chances[cast @ POWERS]), pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "votes", "posterior", "score", "predicted"])
 
     return texts.mapInArrow(rate, with_fields(docs, id_col, "votes array<int>, posterior double, score double, predicted int"))
