@@ -217,6 +217,7 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, id_col: s
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         langs = scorer.model.langs
+        at_once = AT_ONCE // max(1, len(langs) // 4)  # Viterbi holds a byte per word and language
 
         def answer(columns: list[pa.Array], texts: list[np.ndarray]) -> pa.RecordBatch:
             n = np.array([len(x) for x in texts], np.int64)
@@ -244,7 +245,7 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, id_col: s
             texts += [np.fromiter(map(number, w), np.int64, len(w)) for w in words]
             columns.append(b.column(0))
             held += sum(map(len, words))
-            if held >= AT_ONCE or len(scorer.at) > MEMORY:
+            if held >= at_once or len(scorer.at) > MEMORY:
                 yield answer(columns, texts)
                 columns, texts, held = [], [], 0
                 scorer.forget()
