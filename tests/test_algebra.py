@@ -138,13 +138,18 @@ def test_histograms_move_once(numbers):
 @given(st.lists(st.tuples(st.integers(0, 2**32 - 1), st.integers(0, 2**32 - 1), st.integers(0, 255)), min_size=1, max_size=20), st.sampled_from([1, 5, 8, 10, 16, 20, 32, 40, 64]))
 def test_hashes_are_exact(spark, data, bits):
     df = spark.createDataFrame(data, "a long, b long, c int")
-    got = df.select(hash64([(F.col("a"), 32), (F.col("b"), 32), (F.col("c"), 8)], bits).alias("h"), hash64([(F.col("a"), 32)], bits).alias("g"))
+    four = [(F.col("a"), 40), (F.col("b"), 40), (F.col("a"), 40), (F.col("c"), 64)]
+    got = df.select(hash64([(F.col("a"), 32), (F.col("b"), 32), (F.col("c"), 8)], bits).alias("h"), hash64([(F.col("a"), 32)], bits).alias("g"), hash64(four, bits).alias("f"))
     want = []
     for a, b, c in data:
         h = ((a << 32) + b) * Z % WORD
         h = ((h << 8) + c) % WORD * Z % WORD
-        want.append((h >> 64 - bits, a * Z % WORD >> 64 - bits))
-    assert [(int(r["h"]), int(r["g"])) for r in got.collect()] == want
+        f, filled = 0, 0
+        for v, w in ((a, 40), (b, 40), (a, 40), (c, 64)):
+            f, filled = (f * Z % WORD, 0) if filled + w > 64 else (f, filled + w)
+            f = ((f << w) + v) % WORD
+        want.append((h >> 64 - bits, a * Z % WORD >> 64 - bits, f * Z % WORD >> 64 - bits))
+    assert [(int(r["h"]), int(r["g"]), int(r["f"])) for r in got.collect()] == want
 
 
 def test_expressions(spark):
