@@ -5,8 +5,6 @@ Nothing here collects rows to the driver but one row per partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from millrace.storage import materialise, shared_dir
+
+__all__ = ["arrow_batches", "discard", "materialise", "only", "running_total", "shared_dir", "spread", "table", "with_fields"]
+
 #: Rows of text in one Arrow batch: bounds a Python worker's memory with long documents.
 ARROW_ROWS = 256
 
@@ -22,24 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, as the session names it; a temporary one where it names none."""
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set(key, found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: its lineage is cut there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialised tables that nothing reads any more."""
     for df in tables:

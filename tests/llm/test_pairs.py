@@ -188,3 +188,48 @@ def test_pairs_at_the_threshold_share_a_filter():
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * z
     shared = [bool(set(x) & set(y)) for x, y in zip(list_decode(a, 128).tolist(), list_decode(b, 128).tolist(), strict=True)]
     assert sum(shared) == len(a)
+
+
+def jaccard(a, b, n=5):
+    sets = [{" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(12)
+    texts, group = [], []
+    for g in range(60):
+        n = rng.choice([60, 200, 600])
+        words = [f"w{rng.randrange(4_000)}" for _ in range(n)]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randrange(1 + n // 60)):
+                copy[rng.randrange(n)] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+            group.append(g)
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    docs = [*enumerate(texts), (1_000, None), (1_001, ""), (1_002, "one"), (1_003, "ONE"), (1_004, "two words"), (None, texts[0]), (5, texts[5])]
+    for block in (2_048, 3):
+        rows = simhash.similar_components(documents(spark, docs), block=block).collect()
+        assert len(rows) == len(docs)
+        got = {r["doc_id"]: r["component_id"] for r in rows}
+        assert sum(got[i] == got[j] for i, j in close) >= 0.98 * len(close)
+        assert len({got[i] for i in range(len(texts))}) >= 60 and all(group[got[i]] == group[i] for i in range(len(texts)))
+        assert got[1_000] == got[1_001] == 1_000 and got[1_002] == got[1_003] == 1_002 and got[1_004] == 1_004 and got[None] == got[0]
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+    assert simhash.similar_components(documents(spark, [])).count() == 0
+
+
+def test_similarity_estimates():
+    rng = random.Random(13)
+    off = []
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(words)
+        for _ in range(rng.randrange(25)):
+            copy[rng.randrange(300)] = "x"
+        prints = [simhash.wide_fingerprint(" ".join(w).encode().split(), 5) for w in (words, copy)]
+        differing = sum((x ^ y).bit_count() for x, y in zip(*(np.frombuffer(p[1], "<u8").tolist() for p in prints), strict=True))
+        got = simhash.similarity(np.array([differing]), np.array([float(prints[0][2])]), np.array([float(prints[1][2])]))[0]
+        off.append(got - jaccard(" ".join(words), " ".join(copy)))
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.04
