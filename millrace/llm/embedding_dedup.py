@@ -116,7 +116,7 @@ def embedding_components(
     """
     spark = vectors.sparkSession
     rows = only(vectors, [id_col, vector_col, label_col]).toDF("id", "v", "label")
-    rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+    # Components keep their type where vectors are grouped and joined; the decoder reads doubles.
     sound = F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & sound, F.lit(False)))
     distinct = rows.filter("ok").groupBy("label", "v").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
@@ -147,7 +147,7 @@ def embedding_components(
                 )
 
     kind = dict(rows.dtypes)["label"]
-    decoded = spread(nodes.select("node", "v", "label", "copies")).mapInArrow(decode, f"node long, label {kind}, raw binary, filters array<long>, copies long")
+    decoded = spread(nodes.select("node", F.col("v").cast("array<double>").alias("v"), "label", "copies")).mapInArrow(decode, f"node long, label {kind}, raw binary, filters array<long>, copies long")
     decoded = materialise(decoded, "filters")
     met = decoded.select("node", F.xxhash64("label", F.length("raw")).alias("group"), F.explode("filters").alias("filter"))
     met = met.withColumn("key", F.xxhash64("group", "filter"))
