@@ -29,7 +29,7 @@ RUN = WINDOW - GRAM + 1
 #: Bits of the bitmap as a power of two: 2 MB, whatever the benchmark's size.
 BITMAP = 24
 #: Words a worker remembers the hash of.
-MEMORY = 400_000
+MEMORY = 200_000
 #: What separates words, as upper-case letters' lower-case forms and all other word bytes stay.
 SEPARATE = bytes(
     x + 32 if 0x41 <= x <= 0x5A else x if 0x30 <= x <= 0x39 or 0x61 <= x <= 0x7A or x >= 0x80 else 0x20 for x in range(256)
@@ -140,6 +140,7 @@ def winnowed(texts: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray |
                 ["row", id_col, "n_words", "prints"],
             )
             row += b.num_rows
+        _hashes.clear()  # the worker goes on to other things
 
     return spread(only(texts, [id_col, text_col])).mapInArrow(go, StructType([StructField("row", LongType()), *with_fields(texts, id_col, f"n_words long, prints {HIT}").fields]))
 

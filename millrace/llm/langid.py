@@ -31,7 +31,7 @@ SMOOTH = 0.2
 #: A script is a language's if it has this share of its letters.
 SCRIPT_SHARE = 0.02
 #: Words a worker remembers the scores of, and words that go through Viterbi together.
-MEMORY, AT_ONCE = 400_000, 2_500_000
+MEMORY, AT_ONCE = 250_000, 1_200_000
 UNKNOWN = "und"
 
 # First code points of Unicode's ranges, up to the next one, and their scripts.

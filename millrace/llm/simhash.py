@@ -102,18 +102,26 @@ def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), joined), np.uint64)
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """Of a matrix of hashes, the words whose bits are those set in over half of each column."""
-    ones = np.zeros(hashes.shape[1] * 64, np.int64)
+def majority(hashes: np.ndarray, multipliers: np.ndarray | None = None) -> np.ndarray:
+    """The word whose bits are those set in over half of the hashes; with multipliers one for each, of hashes mixed anew."""
+    ones = np.zeros(64 * (1 if multipliers is None else len(multipliers)), np.int64)
     for at in range(0, len(hashes), 255):  # 255 bits summed in a byte, eight bytes in one addition
-        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 255]).view(np.uint8), axis=1, bitorder="little")
+        some = hashes[at : at + 255, None]
+        some = some if multipliers is None else remixed(some, multipliers)
+        bits = np.unpackbits(np.ascontiguousarray(some).view(np.uint8), axis=1, bitorder="little")
         ones += bits.view(np.uint64).sum(axis=0).view(np.uint8)
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+def remixed(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """Of a column of hashes a column of new ones for each multiplier."""
+    x = (hashes ^ hashes >> np.uint64(31)) * multipliers[None, :]
+    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) ^ x >> np.uint64(32)
+
+
 def fingerprint(words: list[bytes], shingle: int) -> int:
     """SimHash of a text's words: bit set if set in over half the XXH64 of its shingles, repeats included."""
-    return int(majority(shingle_hashes(words, shingle)[:, None])[0])
+    return int(majority(shingle_hashes(words, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,17 +262,11 @@ SLACK = 0.04
 SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5 | 1) & (1 << 64) - 1 for i in range(KEY_WORDS + CHECK_WORDS)], np.uint64)
 
 
-def remixed(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """A column of new hashes for each multiplier."""
-    x = (hashes[:, None] ^ hashes[:, None] >> np.uint64(31)) * multipliers[None, :]
-    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) ^ x >> np.uint64(32)
-
-
 def wide_fingerprint(words: list[bytes], shingle: int) -> tuple[bytes, bytes, int]:
     """Prints over short shingles, prints over the distinct shingles, and how many of these there are."""
-    short = majority(remixed(shingle_hashes(words, SHORT), SPREAD[:KEY_WORDS]))
+    short = majority(shingle_hashes(words, SHORT), SPREAD[:KEY_WORDS])
     distinct = np.unique(shingle_hashes(words, shingle))
-    return short.tobytes(), majority(remixed(distinct, SPREAD[KEY_WORDS:])).tobytes(), len(distinct)
+    return short.tobytes(), majority(distinct, SPREAD[KEY_WORDS:]).tobytes(), len(distinct)
 
 
 def similarity(differing: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -327,8 +329,7 @@ def similar_components(
             yield spanning_links(key, block_, node, near)
 
     keyed = nodes.select("short", "node").mapInArrow(emit, "key long, node long, light long")
-    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    met = in_blocks(keyed.join(several, "key"), "key", "node", block).select("key", "block", "node", "light")
+    met = in_blocks(keyed, "key", "node", block).select("key", "block", "node", "light")
     met = met.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(partnered, "key long, block long, node long")
     met = met.join(nodes.select("node", "check", "size"), "node").select("key", "block", "node", "check", "size")
     edges = met.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "a long, b long")

@@ -34,6 +34,8 @@ WINDOW, LEAST, MEAN, MOST = 8, 64, 256, 1024
 DIGEST = 16
 #: Ids hashed at once; a bound on memory.
 AT_ONCE = 1 << 20
+#: Pieces a worker remembers the ids of.
+PIECES = 1_000_000
 #: Hashes a task remembers as already sent; beyond it some content is sent again and dropped later.
 SENT = 2_000_000
 
@@ -99,7 +101,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     kind = dict(docs.dtypes)[id_col]
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail, sent = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), set()
+        enc, tail, sent = encoder(tokenizer, PIECES), np.array([end_id], "<u4").tobytes(), set()
         for b in batches:
             row, hashes, lengths = [], [], []  # recipes
             new_hash, new_width, new_ids = [], [], []  # chunks

@@ -33,7 +33,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 #: Words remembered by one worker; a bound on memory (about 200 bytes each), not on what is encoded.
-MEMORY = 1_000_000
+MEMORY = 400_000
 SPECIAL = "<|"
 
 
@@ -65,9 +65,11 @@ class Memory(dict):
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int | None = None):
         from tokenizers import Tokenizer
 
+        self.limit = memory
+
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -87,7 +89,7 @@ class Encoder:
         new, self.memory.new = self.memory.new, {}
         self._learn(new)
         out = [next(whole) if f is None else b"".join(f) for f in found]
-        if len(self.memory) > MEMORY:  # the words met first, and so the frequent ones, stay
+        if len(self.memory) > (self.limit or MEMORY):  # the words met first, and so the frequent ones, stay
             for piece in new:
                 del self.memory[piece]
         return out
@@ -111,10 +113,11 @@ class Encoder:
 _loaded: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a tokenizer file; workers are reused, and so is its memory."""
+def encoder(path: str, memory: int | None = None) -> Encoder:
+    """This worker's encoder for a tokenizer file, which may remember ``memory`` pieces; workers are reused, and so is it."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].limit = memory
     return _loaded[path]
 
 

@@ -32,7 +32,7 @@ LEAST_G, LEAST_ODDS = 13.0, 8.0
 ROUNDS, DEPTH, RATE, BINS, RIDGE = 60, 3, 0.2, 32, 1.0
 #: Words between a lexicon word and a second-person word that count as close.
 NEAR = 5
-MEMORY = 300_000
+MEMORY = 200_000
 
 # Second-person words of English, German, French, Spanish, Portuguese and Italian.
 SECOND_PERSON = frozenset("""
