@@ -175,6 +175,26 @@ def _combiners() -> None:
 
 _combiners()
 
+#: The product over a whole table is of signs: exact in any order, and within range at any size.
+SIGNS = (lambda: F.when(F.col("l_linenumber") % 2 == 1, -1).otherwise(1).cast("double"), "product(CASE WHEN l_linenumber % 2 = 1 THEN -1 ELSE 1 END)", "double")
+
+
+def _whole_combiners() -> None:
+    """The combiners over every row of lineitem."""
+    for op, (column, sql, kind) in (COMBINED | {"product": SIGNS}).items():
+
+        def grouped(spark: SparkSession, folder: str, op: str = op, column: Callable[[], Column] = column, kind: str = kind) -> DataFrame:
+            return agg.aggregate(lines(spark, folder), ["l_returnflag", "l_suppkey"], value=(op, column())).withColumn("value", F.col("value").cast(kind))
+
+        def reduced(spark: SparkSession, folder: str, op: str = op, column: Callable[[], Column] = column, kind: str = kind) -> DataFrame:
+            return agg.aggregate(lines(spark, folder), value=(op, column())).select(F.col("value").cast(kind))
+
+        query(f"SELECT ({sql})::{kind} AS value, l_returnflag, l_suppkey FROM lineitem GROUP BY l_returnflag, l_suppkey", f"group_{op}_all")(grouped)
+        query(f"SELECT ({sql})::{kind} AS value FROM lineitem", f"reduce_{op}_all")(reduced)
+
+
+_whole_combiners()
+
 
 @query("SELECT coalesce(sum(l_linenumber), 0)::BIGINT AS s, min(l_linenumber) AS m, count(*) AS n FROM lineitem WHERE l_quantity > 1000")
 def sum_empty_is_zero(spark: SparkSession, folder: str) -> DataFrame:
