@@ -269,6 +269,16 @@ def join_bag_build(spark: SparkSession, folder: str) -> DataFrame:
     return rows.project(out, l_orderkey="l_orderkey", l_partkey="l_partkey", brand="brand", size="size").to_df()
 
 
+@query("SELECT l_orderkey, l_partkey, brand, size FROM lineitem JOIN (SELECT p_partkey, p_brand AS brand, p_size AS size FROM part) ON l_partkey // 40 = p_partkey // 40 AND l_linenumber = size")
+def join_bag_build_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part is on the build side; two columns as one key, which several parts share."""
+    key = lambda group, size: int_div(F.col(group), 40) * 64 + F.col(size)  # noqa: E731  sizes are 1 to 50
+    left = rows.project(lines(spark, folder), l_orderkey="l_orderkey", l_partkey="l_partkey", left_key=key("l_partkey", "l_linenumber"))
+    right = rows.project(table(spark, folder, "part"), brand="p_brand", size="p_size", right_key=key("p_partkey", "p_size"))
+    out = join.equi_join(left, right, "left_key", "right_key")
+    return rows.project(out, l_orderkey="l_orderkey", l_partkey="l_partkey", brand="brand", size="size").to_df()
+
+
 @query("""
     SELECT p_partkey, s AS quantity, p_retailprice, o_custkey FROM (SELECT l_partkey, l_orderkey, sum(l_quantity) AS s FROM lineitem GROUP BY ALL)
     JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey

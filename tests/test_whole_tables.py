@@ -31,3 +31,10 @@ def same(spark, duck, name):
 def test_combiners_take_every_line(spark, duck, name):
     assert "WHERE" not in queries.oracle_sql()[name]
     same(spark, duck, name)
+
+
+def test_bag_build_takes_every_part(spark, duck):
+    same(spark, duck, "join_bag_build_all")
+    held = duck.sql("SELECT count(*) FROM lineitem JOIN part ON l_partkey // 40 = p_partkey // 40 AND l_linenumber = p_size WHERE p_partkey >= 40").fetchall()[0][0]
+    repeated = duck.sql("SELECT count(*) FROM (SELECT p_partkey // 40, p_size FROM part GROUP BY ALL HAVING count(*) > 1)").fetchall()[0][0]
+    assert held > 0 and repeated > 0
