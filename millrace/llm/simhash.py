@@ -276,66 +276,218 @@ def similarity(differing: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     return np.where((a == 0) & (b == 0), 1.0, common / np.maximum(a + b - common, 1e-9))
 
 
-def similar_components(
-    docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block: int = BLOCK // 2, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Per document: id, component_id, kept; texts link at a similarity of ``least`` or more of their shingles.
+#: Texts in the sample that tells frequent shingles, how often one must be in it, and how many are held. They decide no result.
+SAMPLED, FREQUENT, MOST_FREQUENT = 8_192, 4, 100_000
+BUCKETS = 256
+#: Groups of nodes that a task remembers as already sent, and rows looked at together.
+SENT, TOGETHER = 500_000, 1 << 14
 
-    Keys are those of ``keys`` for each of KEY_WORDS prints over short shingles, which edits disturb
-    less: a pair of similarity 0.8 shares a key of one half of a print in about one of six cases, of 0.9 in one of
-    three, and there are 16 halves. Pairs that share a key are compared by another print; rows that have such a
-    neighbour meet again with their prints over the distinct shingles, which estimate the similarity.
-    Ids, nulls and repeats are treated as in ``simhash_components``.
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; of the whole if it has fewer words; none of no words."""
+    import xxhash
+
+    words = text.translate(LOWER).split()
+    n, k = len(words), min(len(words), shingle)
+    if not n:
+        return np.empty(0, np.uint64)
+    each = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), words), np.uint64, n)
+    out = np.full(n - k + 1, k, np.uint64)
+    for i in range(k):
+        out = (out ^ each[i : n - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes lie in each bucket. Two sets differ in at least as many elements as their sketches."""
+    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of these sketches and sizes can have Jaccard similarity ``least``; never false if they have."""
+    most = (n + m) * (1 - least) / (1 + least) + 1e-6
+    out = np.abs(n - m) <= most
+    at = np.flatnonzero(out)
+    out[at] = np.abs(a[at].astype(np.int16) - b[at]).sum(axis=1, dtype=np.int64) <= most[at]
+    return out
+
+
+def rarity(hashes: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How often each hash is expected, 0 if it is not among the sorted frequent ones."""
+    if not len(often):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+    return np.where(often[at] == hashes, times[at], 0)
+
+
+def prefix(hashes: np.ndarray, least: float, often: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first hashes, rare ones first, of which sets of similarity ``least`` or more share one.
+
+    Such a set holds least * n of these n, so it cannot miss all of the first n - least * n + 1; and of
+    two such sets the first common hash, in an order that is the same for all, is among both prefixes.
     """
-    arrow_batches(docs.sparkSession)
+    n = len(hashes)
+    order = np.lexsort((hashes, rarity(hashes, often, times)))
+    return hashes[order[: n - int(np.ceil(least * n - 1e-9)) + 1]] if n else hashes
+
+
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= TOGETHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def frequent_shingles(given: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles frequent in a sample of texts, sorted by hash, and in how many texts they are expected."""
+    n = given.count()
+    every = max(1, n // SAMPLED)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pc.cast(pc.fill_null(b.column(1), ""), pa.binary()).to_pylist()
-            short, check, size = zip(*(wide_fingerprint(t.translate(LOWER).split(), shingle) for t in texts), strict=True) if texts else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary()), pa.array(check, pa.binary()), pa.array(size, pa.int32())], ["__id", "short", "check", "size"])
+            for t in pc.cast(pc.fill_null(b.column(0), ""), pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], ["h"])
+
+    sample = given.filter(F.pmod(F.xxhash64("text", "__id"), F.lit(every)) == 0).select("text")
+    rows = spread(sample).mapInArrow(hashed, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
+    found = rows.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toPandas()
+    often = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(often)
+    return often[order], found["n"].to_numpy(np.int64)[order] * every
+
+
+def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block: int = BLOCK // 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): every row as payload with its own number ``row``; and per row: row, component_id, chosen.
+
+    Texts link where the Jaccard similarity of their sets of shingle hashes is ``least`` or more, computed
+    from the sets. Such sets share a hash of their prefixes, so no such pair is missed: rows that share
+    one meet, are pruned by bounds that hold for every pair (sizes, places in the prefixes, sketches), and
+    what bounds leave together is compared by its sets, each read once a group. Equal sets are one node from the start.
+    component_id is the smallest id that links reach; chosen is one row of it, of that id.
+    """
+    arrow_batches(docs.sparkSession)
+    given = docs.select(F.struct("*").alias("payload"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
+    often, times = frequent_shingles(given, shingle)
+    given = spread(given).select(F.struct("payload", "__id", F.monotonically_increasing_id().alias("row")).alias("of"), "text")
+    share = least / (1 + least)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    given = only(docs, [id_col, text_col]).toDF("__id", "text")
-    made = materialise(spread(given).mapInArrow(hashed, with_fields(given, "__id", "short binary, check binary, size int")), "prints")
-    # One row per distinct prints from here on.
-    nodes = made.groupBy("short", "check", "size").agg(F.min("__id").alias("least_id")).withColumn("node", F.monotonically_increasing_id())
-    nodes = materialise(nodes, "nodes")
+        for b in batches:
+            digest, size, counts, first = [], [], [], []
+            for t in pc.cast(pc.fill_null(b.column(1), ""), pa.binary()).to_pylist():
+                h = shingle_set(t, shingle)
+                digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+                size.append(len(h))
+                counts.append(sketch(h).tobytes())
+                first.append(prefix(h, least, often, times).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(counts, pa.binary()), pa.array(first, pa.binary())], ["of", "digest", "size", "sketch", "first"])
+
+    made = materialise(given.mapInArrow(hashed, with_fields(given, "of", "digest binary, size int, sketch binary, first binary")).select("of.*", "digest", "size", "sketch", "first"), "sets")
+    # A node is the first row of those with equal sets; only rows that are not are written down.
+    equal = made.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "node")
+    copies = materialise(made.select("row", "digest").join(equal, "digest").filter("row <> node").select("row", "node"), "copies")
+    nodes = made.join(copies.select("row"), "row", "left_anti").withColumnRenamed("row", "node")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8").reshape(b.num_rows, KEY_WORDS)
-            for k in range(KEY_WORDS):
-                rows, out = keys(prints[:, k], k)
-                # The neighbour print is the one candidates are compared by.
-                light = np.ascontiguousarray(prints[:, (k + 1) % KEY_WORDS]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(out), b.column(1).take(pa.array(rows)), pa.array(light[rows])], ["key", "node", "light"])
+            lengths = np.array([len(x) // 8 for x in b.column(2).to_pylist()], np.int64)
+            key = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8")
+            node, size = (np.repeat(b.column(i).to_numpy(), lengths) for i in (0, 1))
+            place = np.arange(len(key)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            # Frequent keys go to several blocks, so that any two rows of one meet.
+            chunks = np.maximum(1, -(-rarity(key, often, times) // block))
+            at = np.repeat(np.arange(len(key)), chunks)
+            c, other = chunks[at], np.arange(len(at)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+            own = ((node[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % c
+            met = np.minimum(own, other) * c + np.maximum(own, other)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at].view(np.int64), met, node[at], size[at].astype(np.int64) << 32 | place[at])], ["key", "block", "node", "at"])
 
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_blocks(batches):
-            key, block_, node, light = (c.to_numpy() for c in t.columns)
-            light, has = light.view(np.uint64), np.zeros(len(node), bool)
+        import xxhash
+
+        sent: set[int] = set()
+        for t in whole_blocks(together(batches)):
+            key, block_, node, at_ = (c.to_numpy() for c in t.columns)
+            size, left = at_ >> 32, (at_ >> 32) - (at_ & 0xFFFFFFFF)
+            has = np.zeros(len(node), bool)
             for lag, at in neighbours(key, block_):
                 at = at[~(has[at] & has[at + lag])]
-                near = at[np.bitwise_count(light[at] ^ light[at + lag]) <= LIGHT]
+                # Where this is the first hash that two sets share, they share no more than what is left of both.
+                near = at[np.minimum(left[at], left[at + lag]) >= share * (size[at] + size[at + lag]) - 1e-6]
                 has[near] = has[near + lag] = True
-            yield pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (key, block_, node)], ["key", "block", "node"])
+            key, block_, node = key[has], block_[has], node[has]
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block_[1:] != block_[:-1])]) if len(key) else np.empty(0, np.int64)
+            group, member = [], []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=False):
+                g = xxhash.xxh64_intdigest(node[lo:hi].tobytes())
+                if g not in sent:
+                    if len(sent) < SENT:
+                        sent.add(g)
+                    group.append(np.full(hi - lo, g, np.uint64).view(np.int64))
+                    member.append(node[lo:hi])
+            if group:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), pa.array(np.concatenate(member))], ["group", "node"])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_blocks(together(batches)):
+            key, block_, node, size = (t.column(i).to_numpy() for i in range(4))
+            counts = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(node), BUCKETS)
+            yield spanning_links(key, block_, node, lambda i, j: may_reach(counts[i], counts[j], size[i].astype(np.int64), size[j].astype(np.int64), least))  # noqa: B023
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shingle_set(t, shingle).tobytes() for t in pc.cast(pc.fill_null(b.column(2), ""), pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.binary())], ["component", "node", "held"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_blocks(batches):
-            key, block_, node, size = (t.column(c).to_numpy() for c in ("key", "block", "node", "size"))
-            check = np.frombuffer(b"".join(t.column("check").to_pylist()), "<u8").reshape(len(node), CHECK_WORDS)
-            size = size.astype(np.float64)
-            near = lambda i, j: similarity(np.bitwise_count(check[i] ^ check[j]).sum(axis=1, dtype=np.int64), size[i], size[j]) >= least - SLACK  # noqa: B023, E731
+            key, block_, node = (t.column(i).to_numpy() for i in range(3))
+            held = [np.frombuffer(x, np.uint64) for x in t.column(3).to_pylist()]
+            size, counts = np.array([len(x) for x in held], np.int64), np.array([sketch(x) for x in held])
+
+            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                out = may_reach(counts[i], counts[j], size[i], size[j], least)  # noqa: B023
+                for k in np.flatnonzero(out).tolist():
+                    a, b = held[i[k]], held[j[k]]  # noqa: B023
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    out[k] = common >= least * (len(a) + len(b) - common) - 1e-9
+                return out
+
             yield spanning_links(key, block_, node, near)
 
-    keyed = nodes.select("short", "node").mapInArrow(emit, "key long, node long, light long")
-    met = in_blocks(keyed, "key", "node", block).select("key", "block", "node", "light")
-    met = met.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(partnered, "key long, block long, node long")
-    met = met.join(nodes.select("node", "check", "size"), "node").select("key", "block", "node", "check", "size")
-    edges = met.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "a long, b long")
-    found = connected_components(edges)
-    labels = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = labels.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = labels.join(smallest, "component").select(F.col("short").alias("s"), F.col("check").alias("c"), F.col("size").alias("z"), "component_id")
-    joined = made.join(labels, (F.col("short") == F.col("s")) & (F.col("check") == F.col("c")) & (F.col("size") == F.col("z")))
-    return joined.select(F.col("__id").alias(id_col), "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))
+    keyed = nodes.select("node", "size", "first").mapInArrow(emit, "key long, block long, node long, at long")
+    met = keyed.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(partnered, "group long, node long")
+    groups = materialise(met.distinct(), "groups")
+    sized = groups.join(nodes.select("node", "size", "sketch"), "node").select("group", F.lit(0).cast("long").alias("block"), "node", "size", "sketch")
+    loose = connected_components(sized.repartition("group").sortWithinPartitions("group").mapInArrow(bounded, "a long, b long"))
+    members = materialise(loose, "members")
+    texts = nodes.select("node", F.col("payload").getField(text_col).alias("text")).join(members, "node").select("component", "node", "text")
+    dealt = in_blocks(texts.mapInArrow(sets, "component long, node long, held binary"), "component", "node", block).select("component", "block", "node", "held")
+    found = connected_components(dealt.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a long, b long"))
+    # Slim rows from here on: each with its node's component, and of each component the row of the smallest id.
+    slim = made.select("row", "__id").join(copies, "row", "left").withColumn("node", F.coalesce("node", "row"))
+    slim = slim.join(found, "node", "left").select("row", "__id", F.coalesce("component", "node").alias("component"))
+    first = slim.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("null"), "__id", "row")).alias("first"))
+    labels = slim.join(first, "component").select("row", F.col("first.__id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("chosen"))
+    return made.select("row", "payload"), labels
+
+
+def similar_components(
+    docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block: int = BLOCK // 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per document: id, component_id, kept; texts link as ``similar_rows`` says.
+
+    Ids, nulls and repeats are treated as in ``simhash_components``.
+    """
+    rows, labels = similar_rows(only(docs, [id_col, text_col]), shingle=shingle, least=least, block=block, id_col=id_col, text_col=text_col)
+    joined = rows.select("row", F.col("payload").getField(id_col).alias(id_col)).join(labels, "row")
+    return joined.select(id_col, "component_id", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")).alias("kept"))
