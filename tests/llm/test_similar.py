@@ -29,3 +29,21 @@ def test_short_texts(spark):
             words = fresh(rng, n)
             texts += [" ".join(words), " ".join(words[:m])]
     assert len(check(spark, texts)) == 120
+
+
+@pytest.mark.parametrize("kind", ["cut", "appended", "replaced"])
+def test_passage_edits(spark, kind):
+    """One passage gone, added or replaced, at similarities of 0.8 to 0.9."""
+    rng, texts = random.Random(22), []
+    for least in (0.8, 0.83, 0.86, 0.9):
+        for _ in range(40):
+            words = fresh(rng, 300)
+            d = next(d for d in range(150, 0, -1) if jaccard(" ".join(words), " ".join(edited(rng, words, kind, d))) >= least)
+            texts += [" ".join(words), " ".join(edited(rng, words, kind, d))]
+    assert len(check(spark, texts)) == 160
+
+
+def edited(rng, words, kind, d):
+    if kind == "cut":
+        return words[:-d]
+    return words + fresh(rng, d) if kind == "appended" else [*words[:100], *fresh(rng, d), *words[100 + d :]]
