@@ -47,3 +47,13 @@ def edited(rng, words, kind, d):
     if kind == "cut":
         return words[:-d]
     return words + fresh(rng, d) if kind == "appended" else [*words[:100], *fresh(rng, d), *words[100 + d :]]
+
+
+def test_a_line_that_one_copy_repeats(spark):
+    """The sets of shingles are nearly equal, however often one text repeats a line."""
+    rng, texts = random.Random(23), []
+    for times in (10, 20, 50, 200):
+        for _ in range(20):
+            body, line = fresh(rng, 300), fresh(rng, 7)
+            texts += [" ".join(line + body), " ".join(line * times + body)]
+    assert len(check(spark, texts)) == 80
