@@ -57,3 +57,17 @@ def test_a_line_that_one_copy_repeats(spark):
             body, line = fresh(rng, 300), fresh(rng, 7)
             texts += [" ".join(line + body), " ".join(line * times + body)]
     assert len(check(spark, texts)) == 80
+
+
+def test_pairs_below_are_not_linked(spark):
+    """Scattered edits and cut texts at 0.6 to just below 0.8, and some above."""
+    rng, texts = random.Random(24), []
+    for _ in range(60):
+        words = fresh(rng, 300)
+        copy = list(words)
+        for at in rng.sample(range(300), rng.randrange(6, 16)):
+            copy[at] = f"z{rng.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(copy), " ".join(words[: rng.randrange(180, 250)])]
+    pairs = [jaccard(texts[i], texts[j]) for k in range(0, len(texts), 3) for i, j in ((k, k + 1), (k, k + 2))]
+    assert sum(0.6 <= x < 0.8 for x in pairs) > 60
+    check(spark, texts)
