@@ -242,8 +242,11 @@ def read_digests(spark: SparkSession, path: str, kind: str = "long") -> DataFram
     """Per document, from the store's files: id, start, n_tokens, ids_crc32 of all its ids, verified.
 
     Every chunk's content is read, hashed against its address and summed up; a recipe's sums are
-    joined in its order. A chunk that is missing, or a hash or root that does not fit, raises.
+    joined in its order. A chunk that is missing, or a hash or root that does not fit, raises; so do
+    recipes that differ from the manifest in ranges, rows or roots, before anything else is read.
     """
+    if verify_manifest(spark, path, kind).limit(1).count():
+        raise ValueError("the recipes do not fit the manifest")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
