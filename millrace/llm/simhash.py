@@ -228,8 +228,8 @@ def simhash_components(
     if not 0 <= bits <= 3:
         raise ValueError("keys are proven to meet for 0 to 3 bits")
     made = materialise(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "__id"), "prints")
-    # One row per distinct fingerprint from here on; its node is the smallest id that has it.
-    nodes = made.groupBy("print").agg(F.min("__id").cast("long").alias("node"))
+    # One row per distinct fingerprint from here on, which is its own node: whatever ids it has, it can link.
+    nodes = made.groupBy("print").agg(F.min("__id").cast("long").alias("least_id")).withColumn("node", F.col("print"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,12 +237,14 @@ def simhash_components(
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(out), b.column(1).take(at), b.column(0).take(at)], ["key", "node", "print"])
 
-    keyed = nodes.filter("node is not null").mapInArrow(emit, "key long, node long, print long")
+    keyed = nodes.select("print", "node").mapInArrow(emit, "key long, node long, print long")
     met = in_blocks(keyed, "key", "print", block).select("key", "block", "node", "print")
     met = met.repartition("key", "block").sortWithinPartitions("key", "block")
     edges = met.mapInArrow(lambda it: link_blocks(it, bits), "a long, b long")
     found = connected_components(edges)
-    labels = nodes.join(found, "node", "left").select(F.col("print").alias("__p"), F.coalesce("component", "node").alias("component_id"))
+    labels = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = labels.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    labels = labels.join(smallest, "component").select(F.col("print").alias("__p"), "component_id")
     return made.join(labels, F.col("print") == F.col("__p")).select(
         F.col("__id").alias(id_col),
         F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
