@@ -20,7 +20,19 @@ def int_div(a: Value, b: Value) -> Column:
 
 
 def int_pow(a: Value, b: Value) -> Column:
-    return F.pow(_col(a), _col(b)).cast("long")
+    """a to the power of b >= 0 in 64-bit integers, exactly, by squaring; a power beyond them raises, and null gives null."""
+    step = F.struct(F.lit(1).cast("long").alias("out"), _col(a).cast("long").alias("square"), _col(b).cast("int").alias("left"))
+
+    def double(s: Column, _: Column) -> Column:
+        odd, more = s["left"].bitwiseAND(F.lit(1)) == 1, s["left"] > 1  # a square beyond the last bit is not needed, and may not fit
+        return F.struct(
+            F.when(odd, s["out"] * s["square"]).otherwise(s["out"]).alias("out"),
+            F.when(more, s["square"] * s["square"]).otherwise(s["square"]).alias("square"),
+            F.shiftright(s["left"], 1).alias("left"),
+        )
+
+    bits = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(F.bin(_col(b).cast("long")))))
+    return F.when(_col(a).isNotNull() & _col(b).isNotNull(), F.aggregate(bits, step, double, lambda s: s["out"]))
 
 
 def pow2(n: Value) -> Column:

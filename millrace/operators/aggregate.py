@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.relation import Relation, positioned
-from millrace.operators.rows import collect, with_position
+from millrace.operators.relation import Relation, bounded, positioned
+from millrace.operators.rows import collect, named, with_position
 from millrace.types import AlgebraError, require
 
 Combine = Callable[[Column], Column]
@@ -23,20 +23,29 @@ COMBINERS: dict[str, tuple[Combine, object]] = {
 }
 
 
-def combine(op: str, column: Column, init: object = None, identity: bool = True) -> Column:
-    """The aggregate, and for no rows ``init`` or the combiner's identity."""
+#: For what gives no rows: the combiner's identity. None gives null.
+IDENTITY = object()
+
+
+def combine(op: str, column: Column, init: object = IDENTITY) -> Column:
+    """The aggregate, and for no rows ``init``."""
     if op not in COMBINERS:
         raise AlgebraError(f"no combiner {op!r}")
     f, none = COMBINERS[op]
-    empty = init if init is not None else none if identity else None
+    empty = none if init is IDENTITY else init
     return f(column) if empty is None else F.coalesce(f(column), F.lit(empty))
 
 
-def aggregate(rel: Relation, keys: list[str] | None = None, **columns: tuple[str, str | Column]) -> DataFrame:
-    """columns: name = (combiner, column). With keys one row per group, the aggregates first and then the keys; else one row."""
+def aggregate(rel: Relation, keys: list[str | int] | None = None, **columns: tuple[str, str | int | Column]) -> DataFrame:
+    """columns: name = (combiner, column). With keys one row per group, the aggregates first and then the keys; else one row.
+
+    Keys and columns are named or given by ordinal.
+    """
     df = rel.to_df()
+    keys = None if keys is None else [named(rel, k) for k in keys]
     require(df, keys or [], "aggregate")
-    made = [combine(op, F.col(c) if isinstance(c, str) else c, identity=not keys).alias(name) for name, (op, c) in columns.items()]
+    value = lambda c: c if isinstance(c, Column) else F.col(named(rel, c))
+    made = [combine(op, value(c), init=None if keys else IDENTITY).alias(name) for name, (op, c) in columns.items()]
     if keys is None:
         return df.agg(*made)
     if not made:
@@ -44,11 +53,17 @@ def aggregate(rel: Relation, keys: list[str] | None = None, **columns: tuple[str
     return df.groupBy(*keys).agg(*made).select(*columns, *keys)
 
 
-def reduce_slices(rel: Relation, op: str, column: str, name: str, init: object = None) -> DataFrame:
-    """One row per innermost slice; without slices one row."""
+def reduce_slices(rel: Relation, op: str, column: str | int, name: str, init: object = IDENTITY) -> DataFrame:
+    """One row per innermost slice, empty and wholly masked ones too, which give ``init``; without slices one row."""
     rel = collect(rel)
-    value = combine(op, F.col(column), init, identity=True).alias(name)
-    return rel.df.groupBy(*rel.slices).agg(value) if rel.slices else rel.df.agg(value)
+    value = F.col(named(rel, column))
+    if not rel.slices:
+        return rel.rows.agg(combine(op, value, init).alias(name))
+    found = rel.df.groupBy(*rel.slices).agg(combine(op, value, init).alias(name))
+    every = rel.grid().join(bounded(found.withColumn("__some", F.lit(True)), rel.sizes), list(rel.slices), "left")
+    none = COMBINERS[op][1] if init is IDENTITY else init
+    kept = F.col(name) if none is None else F.when(F.col("__some"), F.col(name)).otherwise(F.lit(none))
+    return every.select(*rel.slices, kept.cast(found.schema[name].dataType).alias(name))
 
 
 def nested_reduce(rel: Relation, op: str, column: str, name: str) -> DataFrame:
@@ -61,10 +76,14 @@ def nested_reduce(rel: Relation, op: str, column: str, name: str) -> DataFrame:
 
 
 def two_phase(rel: Relation, keys: list[str], **columns: tuple[str, str]) -> DataFrame:
-    """Groups within slices first, then over slices: the same as one grouping."""
-    rel = collect(rel)
-    partial = rel.df.groupBy(*rel.slices, *keys).agg(*[combine(op, F.col(c), identity=False).alias(name) for name, (op, c) in columns.items()])
-    return partial.groupBy(*keys).agg(*[combine(op, F.col(name), identity=False).alias(name) for name, (op, _) in columns.items()])
+    """Groups within slices first, then over slices; without keys one row.
+
+    Combiners are associative and commutative, so it does not matter which slice a row is in: a task groups the rows that it holds, and
+    the groups of tasks meet. No slice is numbered for it.
+    """
+    rows = collect(rel).rows
+    made = [combine(op, F.col(c), init=None if keys else IDENTITY).alias(name) for name, (op, c) in columns.items()]
+    return rows.groupBy(*keys).agg(*made)
 
 
 def count(rel: Relation, name: str = "n") -> DataFrame:

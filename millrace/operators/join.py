@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +49,8 @@ def equi_join(
     """Inner join on equal keys, and a residual over both sides' columns. Both sides' keys stay."""
     lk, rk = ([k] if isinstance(k, str) else list(k) for k in (left_keys, right_keys))
     left, right = collect(left), collect(right)
-    require(left.df, lk, "join's left side")
-    require(right.df, rk, "join's right side")
+    require(left.rows, lk, "join's left side")
+    require(right.rows, rk, "join's right side")
     if clash := set(left.columns) & set(right.columns):
         raise AlgebraError(f"join: both sides have {sorted(clash)}; rename one")
     table = right.to_df()
@@ -63,27 +63,29 @@ def equi_join(
         # Keys and positions join first; the other right columns are fetched by position.
         order = right.order if right.order and set(right.order) <= set(table.columns) else table.columns
         numbered = number(table, order, "__at")
-        slim = numbered.select(*rk, "__at")
-        out = left.df.join(_hinted(slim, config), on).drop(*rk)
-        out = out.join(numbered, "__at").drop("__at")
-        if residual is not None:
-            out = out.filter(residual)
+        slim = _hinted(numbered.select(*rk, "__at"), config)
+
+        def make(df: DataFrame) -> DataFrame:
+            out = df.join(slim, on).drop(*rk).join(numbered, "__at").drop("__at")
+            return out if residual is None else out.filter(residual)
+
+    elif config.strategy == "partitioned":
+        n = config.partitions or int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = _hinted(table.repartition(n, *rk), config)
+        make = lambda df: df.repartition(n, *lk).join(placed, on)
     else:
-        rows = left.df
-        if config.strategy == "partitioned":
-            n = config.partitions or int(left.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            rows, table = rows.repartition(n, *lk), table.repartition(n, *rk)
-        out = rows.join(_hinted(table, config), on)
-    return replace(left, df=out)
+        hinted = _hinted(table, config)
+        make = lambda df: df.join(hinted, on)
+    return left.map(make)
 
 
 def semi_join(left: Relation, right: Relation, left_key: str, right_key: str) -> Relation:
     """Left rows whose key the right side has."""
     left, table = collect(left), right.to_df()
-    require(left.df, [left_key], "semi join's left side")
+    require(left.rows, [left_key], "semi join's left side")
     require(table, [right_key], "semi join's right side")
     keys = table.select(F.col(right_key).alias("__key"))
-    return replace(left, df=left.df.join(keys, F.col(left_key) == F.col("__key"), "left_semi"))
+    return left.map(lambda df: df.join(keys, F.col(left_key) == F.col("__key"), "left_semi"))
 
 
 def theta_join(left: Relation, right: Relation, condition: Column) -> Relation:
@@ -91,7 +93,7 @@ def theta_join(left: Relation, right: Relation, condition: Column) -> Relation:
     left, table = collect(left), right.to_df()
     if clash := set(left.columns) & set(table.columns):
         raise AlgebraError(f"join: both sides have {sorted(clash)}; rename one")
-    return replace(left, df=left.df.join(table, condition))
+    return left.map(lambda df: df.join(table, condition))
 
 
 def cross(left: Relation, right: Relation) -> Relation:
@@ -99,4 +101,4 @@ def cross(left: Relation, right: Relation) -> Relation:
     left, table = collect(left), right.to_df()
     if clash := set(left.columns) & set(table.columns):
         raise AlgebraError(f"cross: both sides have {sorted(clash)}; rename one")
-    return replace(left, df=left.df.crossJoin(table))
+    return left.map(lambda df: df.crossJoin(table))

@@ -7,9 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
-from pyspark.sql.window import Window
 
-from millrace.operators.relation import POS, UNSEEN, VALID, Relation, positioned
+from millrace.operators.relation import POS, UNSEEN, VALID, Relation, hidden, positioned, valid, within
 from millrace.storage import materialise
 from millrace.types import AlgebraError, is_integral, require
 
@@ -25,7 +24,16 @@ def project(rel: Relation, **columns: Column | str) -> Relation:
         order.append(c if shown or c in rel.hidden else f"{UNSEEN}{c}")
         if order[-1] != c:
             unseen.append(F.col(c).alias(order[-1]))
-    return Relation(rel.df.select(*chosen, *rel.hidden, *unseen), tuple(order), rel.slices)
+    return rel.map(lambda df: df.select(*chosen, *hidden(df.columns, rel.slices), *unseen), order)
+
+
+def named(rel: Relation, key: str | int) -> str:
+    """A column's name, given it or the column's ordinal among those that show, from 0."""
+    if isinstance(key, str):
+        return key
+    if not 0 <= key < len(rel.columns):
+        raise AlgebraError(f"no column {key} among {len(rel.columns)}")
+    return rel.columns[key]
 
 
 def evaluate(rel: Relation, expr: Column, name: str = "value") -> Relation:
@@ -55,12 +63,12 @@ def zip_rows(first: Relation, *others: Relation) -> Relation:
 
 def zip_scalar(rel: Relation, scalar: DataFrame) -> Relation:
     """Every row beside the one row of ``scalar``, an aggregate without groups."""
-    return rel.with_df(rel.df.crossJoin(F.broadcast(scalar.limit(1))))
+    return rel.map(lambda df: df.crossJoin(F.broadcast(scalar.limit(1))))
 
 
 def cast(rel: Relation, column: str, to: str) -> Relation:
-    require(rel.df, [column], "cast")
-    return rel.with_df(rel.df.withColumn(column, F.col(column).cast(to)))
+    require(rel.rows, [column], "cast")
+    return rel.map(lambda df: df.withColumn(column, F.col(column).cast(to)))
 
 
 def with_position(rel: Relation, name: str = "position", relative: bool = False) -> Relation:
@@ -70,8 +78,8 @@ def with_position(rel: Relation, name: str = "position", relative: bool = False)
         return rel.with_df(rel.df.withColumn(name, F.col(POS)))
     if not rel.slices:
         raise AlgebraError("a relative position needs slices")
-    nth = F.row_number().over(Window.partitionBy(*rel.slices).orderBy(POS)) - 1
-    return rel.with_df(rel.df.withColumn(name, nth.cast("long")))
+    at = within(rel)
+    return at.with_df(at.df.withColumn(name, F.col("__at")).drop("__at", "__rows"))
 
 
 # --- masks -----------------------------------------------------------------------------------
@@ -79,19 +87,21 @@ def with_position(rel: Relation, name: str = "position", relative: bool = False)
 
 def mask(rel: Relation, condition: Column) -> Relation:
     """Rows that fail the condition become invalid and stay where they are."""
-    if not isinstance(rel.df.select(condition.alias("c")).schema["c"].dataType, BooleanType):
+    if not isinstance(rel.rows.select(condition.alias("c")).schema["c"].dataType, BooleanType):
         raise AlgebraError("mask: the condition is not boolean")
-    return rel.with_df(rel.df.withColumn(VALID, rel.valid & F.coalesce(condition, F.lit(False))))
+    return rel.map(lambda df: df.withColumn(VALID, valid(df) & F.coalesce(condition, F.lit(False))))
 
 
 def collect(rel: Relation) -> Relation:
     """Without invalid rows; positions are counted anew. Without a mask it changes nothing."""
     if not rel.masked:
         return rel
-    df = rel.df.filter(VALID).drop(VALID)
-    if POS in df.columns and rel.order != (POS,):
-        df = df.drop(POS)
-    return rel.with_df(df)
+    return rel.map(lambda df: _renumbered(rel, df.filter(VALID).drop(VALID)))
+
+
+def _renumbered(rel: Relation, df: DataFrame) -> DataFrame:
+    """df without positions that hold no more, now that rows have gone."""
+    return df.drop(POS) if rel.order != (POS,) else df
 
 
 #: Rows are always contiguous here: to compact is to collect.
@@ -109,10 +119,8 @@ def filter_rows(rel: Relation, *conditions: Column, mode: str = "plain") -> Rela
         raise AlgebraError(f"filter: no mode {mode!r}")
     rel = collect(rel)
     for c in conditions:
-        rel = rel.with_df(rel.df.filter(c))
-    if POS in rel.df.columns and rel.order != (POS,):
-        rel = rel.with_df(rel.df.drop(POS))
-    return rel
+        rel = rel.map(lambda df, c=c: df.filter(c))
+    return rel.map(lambda df: _renumbered(rel, df)) if conditions else rel
 
 
 def distinct(rel: Relation) -> Relation:
@@ -122,28 +130,29 @@ def distinct(rel: Relation) -> Relation:
 # --- order -----------------------------------------------------------------------------------
 
 
-def sort(rel: Relation, *keys: str) -> Relation:
-    """Stable ascending sort, within slices if there are any; positions follow the new order."""
+def sort(rel: Relation, *keys: str | int) -> Relation:
+    """Stable ascending sort by columns, named or by ordinal, within slices if there are any; positions follow the new order."""
     if not keys:
         raise AlgebraError("sort: no key")
-    require(rel.df, keys, "sort")
+    keys = tuple(named(rel, k) for k in keys)
+    require(rel.rows, keys, "sort")
     rel = collect(rel)
     stable = [c for c in rel.order if c not in keys]
     df = rel.df.drop(POS) if POS in rel.df.columns and rel.order != (POS,) else rel.df
     if POS in stable:
         df, stable = df.withColumnRenamed(POS, "__was"), ["__was" if c == POS else c for c in stable]
     by = (*rel.slices, *keys, *stable)
-    return Relation(df.orderBy(*[F.col(c).asc_nulls_first() for c in by]), by, rel.slices)
+    return Relation(df.orderBy(*[F.col(c).asc_nulls_first() for c in by]), by, rel.slices, rel.sizes)
 
 
 def gather(index: Relation, column: str, target: Relation) -> Relation:
     """For each index row the target's row at that position, in index order; positions outside give no row."""
-    if not is_integral(index.df.schema[column].dataType):
+    if not is_integral(index.rows.schema[column].dataType):
         raise AlgebraError(f"gather: {column!r} is not an integer")
     if clash := set(index.columns) & set(target.columns):
         raise AlgebraError(f"gather: both sides have {sorted(clash)}")
     right = positioned(target).df.select(*target.columns, F.col(POS).alias("__at"))
-    return index.with_df(index.df.join(right, F.col(column) == F.col("__at")).drop("__at"))
+    return index.map(lambda df: df.join(right, F.col(column) == F.col("__at")).drop("__at"))
 
 
 # --- slices ----------------------------------------------------------------------------------
@@ -157,44 +166,49 @@ def slice_of(position: Column, rows: Column, n: int) -> Column:
 
 
 def split(rel: Relation, n: int, name: str | None = None) -> Relation:
-    """n slices of neighbouring rows, within the innermost slices there are. n = 0 is one slice around all."""
-    name = name or f"__s{len(rel.slices) + 1}"
+    """n slices of neighbouring rows, within the innermost slices there are. n = 0 is one slice around all.
+
+    Slices without a name of their own are numbered when somebody looks at them.
+    """
     if n < 0:
         raise AlgebraError("split: a negative number of slices")
     if n == 0:
         return shell(rel, name)
-    rel = positioned(rel)
-    if rel.slices:
-        rows = F.count(F.lit(1)).over(Window.partitionBy(*rel.slices))
-        at = F.row_number().over(Window.partitionBy(*rel.slices).orderBy(POS)) - 1
-        df = rel.df.withColumn(name, slice_of(at.cast("long"), rows, n))
-    else:
-        total = rel.df.agg(F.count(F.lit(1)).alias("__rows"))
-        df = rel.df.crossJoin(F.broadcast(total)).withColumn(name, slice_of(F.col(POS), F.col("__rows"), n)).drop("__rows")
-    return Relation(df, rel.order, (*rel.slices, name))
+    column = name or f"__s{len(rel.slices) + 1}"
+
+    def numbered() -> DataFrame:
+        at = positioned(rel)
+        if at.slices:
+            return within(at).df.withColumn(column, slice_of(F.col("__at"), F.col("__rows"), n)).drop("__at", "__rows")
+        total = at.df.agg(F.count(F.lit(1)).alias("__rows"))
+        return at.df.crossJoin(F.broadcast(total)).withColumn(column, slice_of(F.col(POS), F.col("__rows"), n)).drop("__rows")
+
+    levels = ((*rel.slices, column), (*rel.sizes, n))
+    return Relation(numbered(), rel.order, *levels) if name else Relation(numbered, rel.order, *levels, rows=rel.rows)
 
 
 def shell(rel: Relation, name: str | None = None) -> Relation:
     """One slice more, of which every innermost slice has one."""
-    name = name or f"__s{len(rel.slices) + 1}"
-    return Relation(rel.df.withColumn(name, F.lit(0)), rel.order, (*rel.slices, name))
+    column = name or f"__s{len(rel.slices) + 1}"
+    one = lambda df: df.withColumn(column, F.lit(0))
+    levels = ((*rel.slices, column), (*rel.sizes, 1))
+    return Relation(lambda: one(rel.df), rel.order, *levels, rows=one(rel.rows)) if rel.deferred else Relation(one(rel.df), rel.order, *levels)
 
 
 def flatten(rel: Relation) -> Relation:
     """Without the innermost slice level."""
     if not rel.slices:
         raise AlgebraError("flatten: there is no slice level")
-    return Relation(rel.df.drop(rel.slices[-1]), rel.order, rel.slices[:-1])
+    if rel.deferred and len(rel.slices) == 1:
+        return Relation(rel.rows, rel.order)
+    return Relation(rel.df.drop(rel.slices[-1]), rel.order, rel.slices[:-1], rel.sizes[:-1])
 
 
 def last_array(rel: Relation) -> Relation:
-    """Of the innermost slice level only the last slice, within each outer one."""
+    """Of the innermost slice level only the last slice, within each outer one: no row, if that slice is empty."""
     if not rel.slices:
         raise AlgebraError("last_array: there is no slice level")
-    *outer, inner = rel.slices
-    last = rel.df.groupBy(*outer).agg(F.max(inner).alias("__last"))
-    df = rel.df.join(F.broadcast(last), outer) if outer else rel.df.crossJoin(F.broadcast(last))
-    return rel.with_df(df.filter(F.col(inner) == F.col("__last")).drop("__last"))
+    return rel.with_df(rel.df.filter(F.col(rel.slices[-1]) == rel.sizes[-1] - 1))
 
 
 def slice_column(rel: Relation, name: str = "slice") -> Relation:
@@ -229,4 +243,4 @@ def uncat(bundle: Sequence[Relation], n: int) -> Relation:
 
 def length(rel: Relation) -> DataFrame:
     """The number of rows, valid or not, as one row ``length``."""
-    return rel.df.agg(F.count(F.lit(1)).alias("length"))
+    return rel.rows.agg(F.count(F.lit(1)).alias("length"))

@@ -95,8 +95,8 @@ class Query:
     def distinct(self) -> Query:
         return self._then("distinct", rows.distinct)
 
-    def sort(self, *keys: str) -> Query:
-        return self._then("sort", lambda r: rows.sort(r, *keys), ", ".join(keys))
+    def sort(self, *keys: str | int) -> Query:
+        return self._then("sort", lambda r: rows.sort(r, *keys), ", ".join(map(str, keys)))
 
     # Slices.
     def split(self, n: int) -> Query:
@@ -136,13 +136,13 @@ class Query:
 
         def run(r: Relation) -> Relation:
             out = agg.reduce_slices(r, op, column, name or column)
-            return Relation(out, (), r.slices)
+            return Relation(out, (), r.slices, r.sizes)
 
         return self._then("reduce", run, f"{op} {column}")
 
     def nested_reduce(self, op: str, column: str, name: str | None = None) -> Query:
         """Across the innermost slices, place by place."""
-        return self._then("nested_reduce", lambda r: Relation(agg.nested_reduce(r, op, column, name or column), ("place",), r.slices[:-1]), f"{op} {column}")
+        return self._then("nested_reduce", lambda r: Relation(agg.nested_reduce(r, op, column, name or column), ("place",), r.slices[:-1], r.sizes[:-1]), f"{op} {column}")
 
     def nested_sum(self, column: str, mute: bool = False) -> Query:
         """The sum over what the slices gave; with ``mute``, for a plan without slices, nothing to do."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import bit_range, cast_to, hash64, int_div, int_pow, log2_up, not_equal, pow2, prefix_sum, rotate_left, rotate_right
+from millrace.functions import bit_range, cast_to, hash64, host_function, int_div, int_pow, log2_up, not_equal, pow2, prefix_sum, rotate_left, rotate_right
 from millrace.operators import aggregate as agg
 from millrace.operators import join, partition, rows
 from millrace.operators.join import JoinConfig
@@ -15,7 +16,9 @@ from millrace.operators.partition import HashConfig
 from millrace.operators.relation import Relation
 from millrace.plans import Program, Query
 from millrace.queries import query
-from millrace.sources.tables import table
+from millrace.sources.tables import FORMATS, from_rows, generate, read, table, write
+from millrace.storage import own_dir
+from millrace.types import AlgebraError
 
 LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 LINE = f"(SELECT *, row_number() OVER (ORDER BY {LINE_ORDER}) - 1 AS pos, count(*) OVER () AS n FROM lineitem)"
@@ -89,6 +92,52 @@ def rename_append(spark: SparkSession, folder: str) -> DataFrame:
     return Query(table(spark, folder, "region")).append(next=F.col("r_regionkey") + 1).to_df()
 
 
+@query("SELECT l_linenumber, (l_linenumber::HUGEINT * l_linenumber * l_linenumber * l_linenumber * l_linenumber * l_linenumber * l_linenumber)::BIGINT AS seventh, 50031545098999707::BIGINT + l_linenumber - l_linenumber AS odd FROM lineitem")
+def pow_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Powers in integers; 3 to the 35th is beyond what a double holds exactly."""
+    n = F.col("l_linenumber")
+    return rows.project(lines(spark, folder), l_linenumber="l_linenumber", seventh=int_pow(n, 7), odd=int_pow(3, n - n + 35)).to_df()
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, 2 * l_linenumber + 1 AS twice FROM lineitem")
+def host_function_rows(spark: SparkSession, folder: str) -> DataFrame:
+    twice = host_function(lambda x: 2 * x + 1, "int32")
+    return rows.project(lines(spark, folder), **KEYS, twice=twice(F.col("l_linenumber"))).to_df()
+
+
+@query("SELECT l_orderkey, l_extendedprice * 2 AS double_price FROM lineitem WHERE l_quantity < 10")
+def prune_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns that later steps drop again are not read."""
+    q = Query(lines(spark, folder)).append(double_price=F.col("l_extendedprice") * 2, unused=F.col("l_tax") + F.col("l_discount"))
+    return q.filter(F.col("l_quantity") < 10).rename(l_orderkey="l_orderkey", double_price="double_price").to_df()
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 1.5::DOUBLE), (2, NULL, -2.0), (3, 'c', NULL)) t(k, name, x)")
+def host_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return from_rows(spark, [(1, "a", 1.5), (2, None, -2.0), (3, "c", None)], "k int, name string, x double", "k").to_df()
+
+
+@query("SELECT * FROM nation")
+def sink_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """A table written in each format, each time from the one before, and read back."""
+    df = table(spark, folder, "nation").df
+    for fmt in FORMATS:
+        path = f"{own_dir(spark)}/sink-{uuid.uuid4().hex}"
+        write(df, path, fmt)
+        df = read(spark, path, fmt, df.schema)
+    return df
+
+
+@query("SELECT 200::BIGINT AS parts, 1500::BIGINT AS orders, 1500::BIGINT AS whole_orders, true AS in_domain")
+def generated(spark: SparkSession, folder: str) -> DataFrame:
+    """The generator's tables at scale 0.001: lines are numbered from 1 in every order, and every line's part is there."""
+    made = generate(spark, 0.001)
+    per_order = made["lineitem"].join(made["part"], F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("z"), F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("q"))
+    whole = per_order.agg(F.count_if((F.col("a") == 1) & (F.col("z") == F.col("n"))).alias("whole_orders"), F.bool_and((F.col("n") <= 7) & (F.col("q") <= 50)).alias("in_domain"))
+    counts = [made[t].agg(F.count(F.lit(1)).alias(name)) for t, name in (("part", "parts"), ("orders", "orders"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(whole)  # one row each
+
+
 @query("SELECT r_regionkey + 1 AS next, r_name AS label, * FROM region")
 def rename_prepend(spark: SparkSession, folder: str) -> DataFrame:
     return Query(table(spark, folder, "region")).prepend(next=F.col("r_regionkey") + 1, label=F.col("r_name")).to_df()
@@ -146,10 +195,10 @@ def distinct_computed(spark: SparkSession, folder: str) -> DataFrame:
     return Query(lines(spark, folder)).rename(q=F.col("l_quantity") + 1).group_by("q").aggregates().to_df()
 
 
-#: Combiner: (the column, its SQL, the type of the result).
+#: Combiner: (the column, its SQL, the type of the result). The product is of signs: exact in any order, and within range at any size.
 COMBINED: dict[str, tuple[Callable[[], Column], str, str]] = {
     "sum": (lambda: F.col("l_quantity").cast("decimal(12,2)"), "coalesce(sum(l_quantity::DECIMAL(12,2)), 0)", "double"),
-    "product": (lambda: F.when(F.col("l_orderkey") % 997 == 0, F.col("l_linenumber")).otherwise(1).cast("double"), "product(CASE WHEN l_orderkey % 997 = 0 THEN l_linenumber ELSE 1 END)", "double"),
+    "product": (lambda: F.when(F.col("l_linenumber") % 2 == 1, -1).otherwise(1).cast("double"), "product(CASE WHEN l_linenumber % 2 = 1 THEN -1 ELSE 1 END)", "double"),
     "min": (lambda: F.col("l_extendedprice"), "min(l_extendedprice)", "double"),
     "max": (lambda: F.col("l_extendedprice"), "max(l_extendedprice)", "double"),
     "and": (lambda: F.col("l_quantity") > 1, "bool_and(l_quantity > 1)", "boolean"),
@@ -158,30 +207,8 @@ COMBINED: dict[str, tuple[Callable[[], Column], str, str]] = {
 
 
 def _combiners() -> None:
-    few = "WHERE l_orderkey < 3000"
-    for op, (column, sql, kind) in COMBINED.items():
-
-        def grouped(spark: SparkSession, folder: str, op: str = op, column: Callable[[], Column] = column, kind: str = kind) -> DataFrame:
-            kept = rows.filter_rows(lines(spark, folder), F.col("l_orderkey") < 3000)
-            return agg.aggregate(kept, ["l_returnflag", "l_suppkey"], value=(op, column())).withColumn("value", F.col("value").cast(kind))
-
-        def reduced(spark: SparkSession, folder: str, op: str = op, column: Callable[[], Column] = column, kind: str = kind) -> DataFrame:
-            kept = rows.filter_rows(lines(spark, folder), F.col("l_orderkey") < 3000)
-            return agg.aggregate(kept, value=(op, column())).select(F.col("value").cast(kind))
-
-        query(f"SELECT ({sql})::{kind} AS value, l_returnflag, l_suppkey FROM lineitem {few} GROUP BY l_returnflag, l_suppkey", f"group_{op}")(grouped)
-        query(f"SELECT ({sql})::{kind} AS value FROM lineitem {few}", f"reduce_{op}")(reduced)
-
-
-_combiners()
-
-#: The product over a whole table is of signs: exact in any order, and within range at any size.
-SIGNS = (lambda: F.when(F.col("l_linenumber") % 2 == 1, -1).otherwise(1).cast("double"), "product(CASE WHEN l_linenumber % 2 = 1 THEN -1 ELSE 1 END)", "double")
-
-
-def _whole_combiners() -> None:
     """The combiners over every row of lineitem."""
-    for op, (column, sql, kind) in (COMBINED | {"product": SIGNS}).items():
+    for op, (column, sql, kind) in COMBINED.items():
 
         def grouped(spark: SparkSession, folder: str, op: str = op, column: Callable[[], Column] = column, kind: str = kind) -> DataFrame:
             return agg.aggregate(lines(spark, folder), ["l_returnflag", "l_suppkey"], value=(op, column())).withColumn("value", F.col("value").cast(kind))
@@ -189,11 +216,11 @@ def _whole_combiners() -> None:
         def reduced(spark: SparkSession, folder: str, op: str = op, column: Callable[[], Column] = column, kind: str = kind) -> DataFrame:
             return agg.aggregate(lines(spark, folder), value=(op, column())).select(F.col("value").cast(kind))
 
-        query(f"SELECT ({sql})::{kind} AS value, l_returnflag, l_suppkey FROM lineitem GROUP BY l_returnflag, l_suppkey", f"group_{op}_all")(grouped)
-        query(f"SELECT ({sql})::{kind} AS value FROM lineitem", f"reduce_{op}_all")(reduced)
+        query(f"SELECT ({sql})::{kind} AS value, l_returnflag, l_suppkey FROM lineitem GROUP BY l_returnflag, l_suppkey", f"group_{op}")(grouped)
+        query(f"SELECT ({sql})::{kind} AS value FROM lineitem", f"reduce_{op}")(reduced)
 
 
-_whole_combiners()
+_combiners()
 
 
 @query("SELECT coalesce(sum(l_linenumber), 0)::BIGINT AS s, min(l_linenumber) AS m, count(*) AS n FROM lineitem WHERE l_quantity > 1000")
@@ -261,16 +288,8 @@ def join_dedup_build(spark: SparkSession, folder: str) -> DataFrame:
     return rows.project(out, l_orderkey="l_orderkey", l_partkey="l_partkey", brand="brand", size="size").to_df()
 
 
-@query("SELECT l_orderkey, l_partkey, brand, size FROM lineitem JOIN (SELECT p_brand AS brand, p_size AS size FROM part WHERE p_partkey < 40) ON l_linenumber = size")
-def join_bag_build(spark: SparkSession, folder: str) -> DataFrame:
-    left = rows.project(lines(spark, folder), l_orderkey="l_orderkey", l_partkey="l_partkey", l_linenumber="l_linenumber")
-    right = rows.project(rows.filter_rows(table(spark, folder, "part"), F.col("p_partkey") < 40), brand="p_brand", size="p_size")
-    out = join.equi_join(left, right, "l_linenumber", "size")
-    return rows.project(out, l_orderkey="l_orderkey", l_partkey="l_partkey", brand="brand", size="size").to_df()
-
-
 @query("SELECT l_orderkey, l_partkey, brand, size FROM lineitem JOIN (SELECT p_partkey, p_brand AS brand, p_size AS size FROM part) ON l_partkey // 40 = p_partkey // 40 AND l_linenumber = size")
-def join_bag_build_all(spark: SparkSession, folder: str) -> DataFrame:
+def join_bag_build(spark: SparkSession, folder: str) -> DataFrame:
     """Every part is on the build side; two columns as one key, which several parts share."""
     key = lambda group, size: int_div(F.col(group), 40) * 64 + F.col(size)  # noqa: E731  sizes are 1 to 50
     left = rows.project(lines(spark, folder), l_orderkey="l_orderkey", l_partkey="l_partkey", left_key=key("l_partkey", "l_linenumber"))
@@ -374,6 +393,42 @@ def last_array(spark: SparkSession, folder: str) -> DataFrame:
     return rows.project(rows.last_array(rows.split(lines(spark, folder), 5)), **KEYS).to_df()
 
 
+NATIONS = "(SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, count(*) OVER () AS n FROM nation)"
+
+
+@query(f"""
+    SELECT g.s::INTEGER AS slice, coalesce(sum(n_regionkey), 0)::BIGINT AS total, max(n_nationkey) AS top
+    FROM generate_series(0, 39) g(s) LEFT JOIN (SELECT *, {sliced('pos', 'n', 40)} AS place FROM {NATIONS}) ON place = g.s GROUP BY g.s
+""")
+def reduce_empty_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """Forty slices of twenty-five rows: the empty ones give 0, or null without a value for nothing."""
+    cut = rows.split(table(spark, folder, "nation"), 40, "slice")
+    return agg.reduce_slices(cut, "sum", "n_regionkey", "total").join(agg.reduce_slices(cut, "max", "n_nationkey", "top"), "slice")
+
+
+@query(f"""
+    SELECT s AS slice, coalesce(sum(l_linenumber) FILTER (kept), -1)::BIGINT AS s FROM (SELECT l_linenumber, {sliced('pos', 'n', 9)} AS s, pos >= n - n // 3 AS kept FROM {LINE}) GROUP BY s
+""")
+def reduce_masked_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """Slices of which most are wholly masked; those give what the reduction begins with."""
+    cut = rows.with_position(rows.split(lines(spark, folder), 9, "slice"))
+    total = rows.length(cut)
+    masked = rows.mask(rows.zip_scalar(cut, total), F.col("position") >= F.col("length") - int_div(F.col("length"), 3))
+    return agg.reduce_slices(masked, "sum", "l_linenumber", "s", init=-1)
+
+
+@query("SELECT n_nationkey FROM nation WHERE 1 = 0")
+def last_array_empty(spark: SparkSession, folder: str) -> DataFrame:
+    """The last of forty slices of twenty-five rows is empty."""
+    return rows.project(rows.last_array(rows.split(table(spark, folder, "nation"), 40)), n_nationkey="n_nationkey").to_df()
+
+
+@query("SELECT sum(l_linenumber)::BIGINT AS l_linenumber FROM lineitem")
+def nested_sum(spark: SparkSession, folder: str) -> DataFrame:
+    """The sum over what seven slices gave."""
+    return Query(lines(spark, folder)).split(7).reduce("sum", "l_linenumber").flatten().nested_sum("l_linenumber").to_df()
+
+
 @query("SELECT 0 AS slice, sum(l_linenumber)::BIGINT AS s FROM lineitem")
 def shell(spark: SparkSession, folder: str) -> DataFrame:
     return agg.reduce_slices(rows.shell(lines(spark, folder), "slice"), "sum", "l_linenumber", "s")
@@ -385,6 +440,19 @@ def sort_multi_key(spark: SparkSession, folder: str) -> DataFrame:
     return rows.project(rows.with_position(rows.sort(lines(spark, folder), "l_returnflag", "l_quantity"), "rank"), **KEYS, rank="rank").to_df()
 
 
+@query(f"SELECT l_suppkey, l_quantity, l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_suppkey, l_quantity, {LINE_ORDER.replace(', l_suppkey, l_quantity', '')}) - 1 AS rank FROM lineitem")
+def sort_by_ordinal(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns by ordinal, from 0, among those there are."""
+    chosen = rows.project(lines(spark, folder), **{c: c for c in ("l_suppkey", "l_quantity", "l_orderkey", "l_linenumber")})
+    return rows.with_position(rows.sort(chosen, 0, 1), "rank").to_df()
+
+
+@query("SELECT max(l_orderkey) AS top, l_suppkey, l_linenumber FROM lineitem GROUP BY l_suppkey, l_linenumber")
+def group_by_ordinal(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = rows.project(lines(spark, folder), **{c: c for c in ("l_suppkey", "l_linenumber", "l_orderkey")})
+    return agg.aggregate(chosen, [0, 1], top=("max", 2))
+
+
 @query("SELECT count(*) AS length FROM lineitem")
 def length(spark: SparkSession, folder: str) -> DataFrame:
     return rows.length(rows.mask(lines(spark, folder), F.col("l_quantity") < 3))
@@ -474,6 +542,46 @@ def radix_part(spark: SparkSession, folder: str) -> DataFrame:
     return rows.project(placed, **KEYS, bucket="bucket", place="place").to_df()
 
 
+HASHED = f"((l_partkey::HUGEINT * {Z}) % {WORD} // {1 << 52}::HUGEINT)::BIGINT"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, ({HASHED} >> 4) & 7 AS bucket, row_number() OVER (ORDER BY ({HASHED} >> 4) & 7, pos) - 1 AS place FROM {LINE}")
+def radix_part_hashed(spark: SparkSession, folder: str) -> DataFrame:
+    """By bits of a hash of the key, over four slices."""
+    placed, _ = partition.radix_partition(lines(spark, folder), "l_partkey", 6, 4, hash=lambda k: hash64([(k, 32)], 12), slices=4)
+    return rows.project(placed, **KEYS, bucket="bucket", place="place").to_df()
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey % 13 AS bucket, row_number() OVER (PARTITION BY l_partkey % 13 ORDER BY pos) - 1 AS place FROM {LINE}")
+def partition_disjoint(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys in one relation, values in another, and a buffer for each bucket."""
+    r = bucketed(spark, folder)
+    values = rows.project(lines(spark, folder), l_orderkey="l_orderkey", l_linenumber="l_linenumber", l_extendedprice="l_extendedprice")
+    hist = partition.offsets(partition.histogram(r, "bucket", 16))
+    placed, _ = partition.partition(rows.project(r, bucket="bucket"), "bucket", hist, values=values, disjoint=True)
+    return rows.project(placed, l_orderkey="l_orderkey", l_linenumber="l_linenumber", l_extendedprice="l_extendedprice", bucket="bucket", place="place").to_df()
+
+
+KEPT = f"(SELECT *, {sliced('pos', 'n', 6)} AS s FROM {LINE} WHERE l_quantity < 10)"
+BY_SLICE = f"(SELECT g.s::INTEGER AS s, count(l_orderkey) AS k, coalesce(sum(count(l_orderkey)) OVER (ORDER BY g.s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM generate_series(0, 5) g(s) LEFT JOIN {KEPT} x ON x.s = g.s GROUP BY g.s)"
+
+
+def masked_slices(spark: SparkSession, folder: str) -> Relation:
+    return rows.mask(rows.split(lines(spark, folder), 6, "slice"), F.col("l_quantity") < 10)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, (lower + 3 * s)::BIGINT + row_number() OVER (PARTITION BY s ORDER BY pos) - 1 AS place FROM {KEPT} JOIN {BY_SLICE} USING (s)")
+def compact_padded(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mask left of six slices, each with three unused places after it."""
+    packed, _ = partition.compact_slices(masked_slices(spark, folder), padding=3)
+    return rows.project(packed, **KEYS, place="place").to_df()
+
+
+@query(f"SELECT s::BIGINT AS bucket, k AS count FROM {BY_SLICE}")
+def compact_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return partition.compact_slices(masked_slices(spark, folder))[1].df
+
+
 @query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey")
 def hash_partition(spark: SparkSession, folder: str) -> DataFrame:
     """Placed by key first, so the grouping shuffles no more."""
@@ -497,6 +605,29 @@ def cat_uncat(spark: SparkSession, folder: str) -> DataFrame:
     return rows.project(rows.uncat(bundle, 1), n_nationkey="n_nationkey").to_df()
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity < 3")
+def complete_written(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows so far written and read again before the filter."""
+    return Query(lines(spark, folder)).rename(**KEYS, l_quantity="l_quantity").complete(True).filter(F.col("l_quantity") < 3).rename(**KEYS).to_df()
+
+
+@query("SELECT * FROM (VALUES (0, 0, 'lineitem'), (1, 2, 'filter 2 conditions mode=plain'), (2, 2, 'append revenue'), (3, 2, 'group_by l_suppkey')) t(line, indent, step)")
+def plan_listing(spark: SparkSession, folder: str) -> DataFrame:
+    q = Query(lines(spark, folder), "lineitem").filter(F.col("l_quantity") < 24, F.col("l_discount") > 0.05).append(revenue=F.col("l_extendedprice") * F.col("l_discount"))
+    listed = q.group_by("l_suppkey").aggregates(revenue=("sum", "revenue")).listing().split("\n")
+    return from_rows(spark, ((i, len(x) - len(x.lstrip()), x.lstrip()) for i, x in enumerate(listed)), "line int, indent int, step string", "line").to_df()
+
+
+@query("SELECT 'region > append > sort > sort: no column ''nothing'' among [''r_regionkey'', ''r_name'', ''next'']' AS message")
+def typed_error(spark: SparkSession, folder: str) -> DataFrame:
+    """What a wrong plan is told: the steps up to the one that refuses, and why."""
+    try:
+        Query(table(spark, folder, "region"), "region").append(next=F.col("r_regionkey") + 1).sort("nothing").to_df()
+    except AlgebraError as e:
+        return from_rows(spark, [(str(e),)], "message string").to_df()
+    raise AssertionError("a sort by no column was not refused")
+
+
 @query("SELECT r_regionkey, r_name FROM region")
 def block_identity(spark: SparkSession, folder: str) -> DataFrame:
     return Query(table(spark, folder, "region")).connector(rows.block).to_df()

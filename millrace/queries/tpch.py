@@ -103,8 +103,8 @@ def tpch_q06_sliced(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen slices, a sum in each, and the sum of these."""
     sliced = rows.split(tables.table(spark, folder, "lineitem"), 16)
     kept = rows.filter_rows(sliced, (F.col("l_shipdate") > F.lit(datetime(1996, 1, 1))) & (F.col("l_shipdate") < F.lit(datetime(1997, 1, 1))), (F.col("l_discount") > 0.05) & (F.col("l_discount") < 0.07), F.col("l_quantity") < 24)
-    sums = aggregate.reduce_slices(rows.project(kept, revenue=price() * rate()), "sum", "revenue", "revenue")
-    return sums.agg(aggregate.combine("sum", F.col("revenue")).cast("double").alias("revenue"))
+    sums = aggregate.two_phase(rows.project(kept, revenue=price() * rate()), [], revenue=("sum", "revenue"))
+    return sums.select(F.col("revenue").cast("double"))
 
 
 Q17 = """
