@@ -146,7 +146,8 @@ def rename_prepend(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT l_partkey, l_extendedprice, l_quantity FROM lineitem")
 def zip_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Columns computed apart and put side by side again."""
-    a, b = (rows.project(rows.positioned(lines(spark, folder)), **{c: c for c in names}) for names in (["l_partkey"], ["l_extendedprice", "l_quantity"]))
+    placed = rows.positioned(lines(spark, folder))
+    a, b = (rows.project(placed, **{c: c for c in names}) for names in (["l_partkey"], ["l_extendedprice", "l_quantity"]))
     return rows.zip_rows(a, b).to_df()
 
 

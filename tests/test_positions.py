@@ -15,7 +15,7 @@ from millrace.types import AlgebraError
 N = 4_000
 
 
-@pytest.mark.parametrize("a,b", [("cast(id % 7 as string)", "-id"), ("1", "id"), ("id % 3 = 0", "cast(id as binary)"), ("id % 13", "-id"), ("if(id % 5 > 0, null, id)", "id")])
+@pytest.mark.parametrize("a,b", [("cast(id % 7 as string)", "-id"), ("1", "id"), ("id % 3 = 0", "unhex(lpad(hex(id), 8, '0'))"), ("id % 13", "-id"), ("if(id % 5 > 0, null, id)", "id")])
 def test_no_range_is_a_large_part_of_the_table(spark, monkeypatch, a, b):
     monkeypatch.setattr("millrace.operators.relation.ranges_of", lambda df: 20)
     df = spark.range(N).select("id", F.expr(a).alias("a"), F.expr(b).alias("b"))
