@@ -1,47 +1,80 @@
-"""What the training-data operators share: tables in the shared folder, running totals, batches.
+"""What the training-data operators share: tables in the shared folder, running totals, batches, joins on keys that many rows have.
 
 Nothing here collects rows to the driver but one row per partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from millrace.storage import materialise, shared_dir
+from millrace.storage import delete, discard, materialise, own_dir
 
-__all__ = ["arrow_batches", "discard", "materialise", "only", "running_total", "shared_dir", "spread", "table", "with_fields"]
+__all__ = ["delete", "discard", "materialise", "only", "own_dir", "running_total", "salted_join", "sampled", "small", "spread", "table", "with_fields"]
 
-#: Rows of text in one Arrow batch: bounds a Python worker's memory with long documents.
-ARROW_ROWS = 256
+#: Rows, and bytes of text, that a Python worker looks at together: its memory is bounded with long documents, too.
+TOGETHER_ROWS, TOGETHER_BYTES = 256, 8 << 20
+#: Keys dealt to several places at most, and rows of a key that one place takes at least.
+HEAVY_KEYS, LIGHT_ROWS = 1 << 16, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of materialised tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: a table of one small file would keep one core busy. Large tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Keep batches of texts small, so that a worker holds few long documents at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def small(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few rows and few bytes of the column ``text``, or of one row that is larger by itself."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < b.num_rows:
+            fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER_BYTES, side="right"))
+            stop = min(at + TOGETHER_ROWS, max(fits, at + 1), b.num_rows)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def sampled(rows: DataFrame, sample: int, columns: Sequence[str]) -> DataFrame:
+    """About ``sample`` distinct rows at most, drawn by a hash of ``columns``: rows alike in these count once, however many there are."""
+    total = rows.count()
+    if total > sample:
+        rows = rows.filter(F.pmod(F.xxhash64(*columns, F.lit("sample")), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
+    return rows.dropDuplicates(list(columns))
+
+
+def salted_join(rows: DataFrame, values: DataFrame, key: str, deal: Sequence[str], total: int | None = None, how: str = "inner") -> DataFrame:
+    """rows with what ``values`` has for their key: one row a key, with ``n``, about how many rows have that key.
+
+    Rows of a key that many have are dealt to several places by a hash of the columns ``deal``, and the key's row of values
+    goes to each, so no task gets all rows of a key. A key is dealt out if its n is more than LIGHT_ROWS and than a
+    HEAVY_KEYS-th of the sum of n (``total`` if known); so there are at most HEAVY_KEYS such keys, which are broadcast.
+    """
+    if total is None:
+        sums = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__all"))
+        values = values.crossJoin(F.broadcast(sums))  # one row
+        most: Column = F.greatest(F.lit(LIGHT_ROWS), F.col("__all") / HEAVY_KEYS)
+    else:
+        most = F.lit(max(LIGHT_ROWS, total / HEAVY_KEYS))
+    values = values.withColumn("__places", F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("int")).drop("__all", "n")
+    heavy = values.filter("__places > 1").select(key, F.col("__places").alias("__of"))
+    rows = rows.join(F.broadcast(heavy), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*deal), F.coalesce("__of", F.lit(1))).cast("int")).drop("__of")
+    values = values.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__places") - 1))).drop("__places")
+    return rows.join(values, [key, "__salt"], how).drop("__salt")
 
 
 def running_total(df: DataFrame, order: str, value: str, total: str) -> DataFrame:

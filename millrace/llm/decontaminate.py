@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from millrace.llm.common import arrow_batches, materialise, only, spread, with_fields
+from millrace.llm.common import materialise, only, small, spread, with_fields
 
 WINDOW, GRAM = 10, 5
 RUN = WINDOW - GRAM + 1
@@ -129,7 +129,7 @@ def winnowed(texts: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray |
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in small(batches):
             h, starts = word_hashes(pc.cast(pc.fill_null(b.column(1), ""), pa.binary()).to_pylist())
             found: list[list] = [[] for _ in range(b.num_rows)]
             for i, key, base, n, w in prints(h, starts, short, shared.value if shared else None, whole_items):
@@ -170,7 +170,6 @@ def decontaminate(
     string). Rows that repeat an id count each for itself; items that repeat an id count once; an
     item without an id marks words but is not listed. An empty benchmark contaminates nothing.
     """
-    arrow_batches(docs.sparkSession)
     items = materialise(winnowed(benchmark, item_col, item_text_col, whole_items=True).select(F.col(item_col).cast("string").alias("item"), F.explode("prints").alias("p")).select("item", "p.*").distinct(), "items")
     short = sorted(r["len"] for r in items.filter(F.col("len") < WINDOW).select("len").distinct().collect())  # of nine lengths
     rows = materialise(winnowed(docs, id_col, text_col, _bitmap(items), short), "winnowed")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_batches, only, spread, with_fields
+from millrace.llm.common import only, sampled, small, spread, with_fields
 
 #: Training texts at most, about; all languages together, drawn by a hash of the id.
 SAMPLE = 6_000
@@ -101,19 +101,17 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def train(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about ``sample`` of the rows with text and language, drawn by a hash of their id.
+    """Fit on about ``sample`` of the rows with text and language, drawn by a hash of all three; rows that repeat count once.
 
     The driver gets sums by language and bucket, not texts. Without any such row the model knows no
     language.
     """
-    arrow_batches(docs.sparkSession)
     rows = only(docs, [id_col, text_col, lang_col]).toDF("id", "text", "lang").filter("text is not null and lang is not null")
-    share = sample / max(1, rows.count())
-    picked = rows if share >= 1 else rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    picked = sampled(rows, sample, ["id", "text", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        for b in batches:
+        for b in small(batches, 0):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in seen.items():
@@ -210,7 +208,6 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, id_col: s
     null or has no letter, and for every text if the model knows no language. Ties go to the
     language first in the alphabet. Rows that repeat stay; other columns are ignored.
     """
-    arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 
@@ -237,7 +234,7 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, id_col: s
             return pa.RecordBatch.from_arrays([pa.concat_arrays(columns), pa.array(pred), pa.array(share), pa.array(spans, span)], [id_col, "lang_pred", "score", "spans"])
 
         columns, texts, held = [], [], 0
-        for b in batches:
+        for b in small(batches):
             words = [words_of(t) for t in pc.fill_null(b.column(1), "").to_pylist()]
             if new := list(set().union(*words).difference(scorer.at)):
                 scorer.learn(new)

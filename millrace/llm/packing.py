@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import arrow_batches, materialise, only, spread, with_fields
+from millrace.llm.common import materialise, only, small, spread, with_fields
 from millrace.llm.tokens import encoder
 
 #: Pieces packed together by one task.
@@ -28,11 +28,9 @@ GROUP = 100_000
 
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece of a document's ids (its end id included): id, piece, start, length, ids_crc32."""
-    arrow_batches(docs.sparkSession)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail, step = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), capacity * 4
-        for b in batches:
+        for b in small(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for i, raw in enumerate(enc.encode(pc.fill_null(b.column(1), "").to_pylist())):
                 raw += tail

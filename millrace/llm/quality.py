@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_batches, materialise, only, spread, with_fields
+from millrace.llm.common import only, sampled, small, spread, with_fields
 
-#: Texts the linear model is fitted on at most, about, drawn by a hash of their id.
+#: Texts the linear model is fitted on at most, about, drawn by a hash of id and text.
 SAMPLE = 8_000
 BUCKETS = 1 << 16
 ROUNDS, EPOCHS, BATCH, STEP, DECAY = 200, 20, 256, 0.5, 1e-6
@@ -101,22 +101,37 @@ def posterior(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
 TOKEN_COLUMNS = ("chars", "letters", "alnum", "capitals", "function word", "symbol runs")
 
 
+class Numbers(dict):
+    """Tokens and their numbers; one not yet known gets the next number, and is noted in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = at = len(self)
+        self.new.append(token)
+        return at
+
+
 class Tokens:
     """A worker's memory of tokens: what each adds to the sums, the hash of its word and the bucket of its shape."""
 
     def __init__(self):
-        self.at, self.shapes = {}, {}
+        self.at, self.shapes = Numbers(), {}
         self.word, self.shape = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.rows = np.empty((0, len(TOKEN_COLUMNS)), np.float32)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > MEMORY:
+        if len(self.at) > MEMORY or self.at.new:  # an error left tokens unlearned
             self.__init__()
-        tokens = [t.split() for t in texts]
-        if new := list(set().union(*tokens).difference(self.at)):
+        number, out = self.at.__getitem__, []
+        for t in texts:
+            tokens = t.split()
+            out.append(np.fromiter(map(number, tokens), np.int64, len(tokens)))
+        new, self.at.new = self.at.new, []
+        if new:
             self._learn(new)
-        number = self.at.__getitem__
-        return [np.fromiter(map(number, x), np.int64, len(x)) for x in tokens]
+        return out
 
     def _learn(self, new: list[str]) -> None:
         import xxhash
@@ -147,7 +162,6 @@ class Tokens:
         self.rows = np.concatenate([self.rows, rows])
         self.word = np.concatenate([self.word, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))])
         self.shape = np.concatenate([self.shape, np.fromiter(map(self.shapes.__getitem__, shapes), np.int64, len(shapes))])
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
 
     def buckets(self, ids: np.ndarray) -> np.ndarray:
         """Buckets of a text's tokens, of their shapes, and of neighbours: both shapes, and whether they are the same token."""
@@ -156,6 +170,14 @@ class Tokens:
         return np.concatenate([(self.word[ids] % np.uint64(BUCKETS)).astype(np.int64), shape, pair])
 
 
+_tokens = Tokens()
+
+
+def remembered() -> Tokens:
+    """This worker's memory; workers are reused, and so is it: it depends on no model."""
+    return _tokens
+
+
 class _Shape(dict):
     def __missing__(self, c: int) -> str:
         x = chr(c)
@@ -172,16 +194,22 @@ class Model:
     bias: float
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray) -> Model:
-    """Logistic regression on mean bucket counts with soft targets, by AdaGrad."""
+def shares(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text and the share of its features in each: no more numbers than BUCKETS, however long the text."""
+    at, n = np.unique(buckets, return_counts=True)
+    return at.astype("<u2"), (n / max(len(buckets), 1)).astype("<f4")
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> Model:
+    """Logistic regression on the shares of buckets with soft targets, by AdaGrad."""
     rng = np.random.default_rng(11)
     w, b, sq, sq_b = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(EPOCHS if len(rows) else 0):
         order = rng.permutation(len(rows))
         for at in (order[i : i + BATCH] for i in range(0, len(order), BATCH)):
-            n = np.array([len(rows[i]) for i in at])
-            bucket = np.concatenate([rows[i] for i in at])
-            of, value = np.repeat(np.arange(len(at)), n), np.repeat(1 / np.maximum(n, 1), n)
+            bucket = np.concatenate([rows[i][0] for i in at]).astype(np.int64)
+            value = np.concatenate([rows[i][1] for i in at]).astype(float)
+            of = np.repeat(np.arange(len(at)), [len(rows[i][0]) for i in at])
             margin = np.bincount(of, w[bucket] * value, len(at)) + b
             off = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - target[at]) / len(at)
             g = np.bincount(bucket, off[of] * value, BUCKETS) + DECAY * w
@@ -198,43 +226,42 @@ def quality(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", te
     posterior is the weak-label model's probability of good for the row's votes, score the linear
     model's (both 0 to 1), predicted 1 if score >= 0.5, else 0. A null text counts as empty. Rows that
     repeat stay; an empty table gives an empty table; other columns are ignored. The driver gets the
-    counts of vote patterns, at most 3 to the number of labellers, and the sample's bucket numbers.
+    counts of vote patterns, at most 3 to the number of labellers, and of each text of the sample its distinct buckets with their shares.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     texts = spread(only(docs, [id_col, text_col]))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
-        for b in batches:
-            held = pc.fill_null(b.column(1), "").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes(tokens, held, tokens.ids(held)) @ POWERS)], [id_col, "pattern"])
-
-    voted = materialise(texts.mapInArrow(vote, with_fields(docs, id_col, "pattern long")), "votes")
-    seen = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toArrow()
+        tokens, seen = remembered(), np.zeros(3 ** len(LABELLERS), np.int64)
+        for b in small(batches, 0):
+            held = pc.fill_null(b.column(0), "").to_pylist()
+            seen += np.bincount(votes(tokens, held, tokens.ids(held)) @ POWERS, minlength=len(seen))
+        pattern = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(seen[pattern])], ["pattern", "n"])
+
+    seen = texts.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     pattern, n = seen.column("pattern").to_numpy(), seen.column("n").to_numpy().astype(float)
     good = posterior(pattern[:, None] // POWERS % 3, n)
     of_pattern = np.full(3 ** len(LABELLERS), 0.5)
     of_pattern[pattern] = good
 
-    share = sample / max(1.0, n.sum())
-    picked = texts.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
-
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
-        for b in batches:
+        tokens = remembered()
+        for b in small(batches):
             held = pc.fill_null(b.column(1), "").to_pylist()
             ids = tokens.ids(held)
-            rows = [tokens.buckets(i).astype(np.uint16).tobytes() for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes(tokens, held, ids) @ POWERS), pa.array(rows, pa.binary())], [id_col, "pattern", "buckets"])
+            rows = [shares(tokens.buckets(i)) for i in ids]
+            columns = [pa.array([x[k].tobytes() for x in rows], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes(tokens, held, ids) @ POWERS), *columns], ["key", "pattern", "buckets", "shares"])
 
-    got = picked.mapInArrow(measure, with_fields(docs, id_col, "pattern long, buckets binary")).orderBy(id_col, "pattern").toArrow()
-    rows = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got.column("buckets").to_pylist()]
+    picked = sampled(texts.toDF("id", "text"), sample, ["id", "text"]).select(F.xxhash64("id", "text").alias("key"), "text")
+    got = picked.mapInArrow(measure, "key long, pattern long, buckets binary, shares binary").orderBy("key", "pattern").toArrow()
+    rows = [(np.frombuffer(x, "<u2"), np.frombuffer(y, "<f4")) for x, y in zip(got.column("buckets").to_pylist(), got.column("shares").to_pylist(), strict=True)]
     shared = spark.sparkContext.broadcast((fit(rows, of_pattern[got.column("pattern").to_numpy()]), of_pattern))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, chances), tokens = shared.value, Tokens()
-        for b in batches:
+        (model, chances), tokens = shared.value, remembered()
+        for b in small(batches):
             held = pc.fill_null(b.column(1), "").to_pylist()
             ids = tokens.ids(held)
             cast = votes(tokens, held, ids)

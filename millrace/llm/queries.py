@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import toxicity
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import own_dir, table
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.embedding_dedup import embedding_components
 from millrace.llm.langid import Model, fold, identify, train
@@ -43,7 +43,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/millrace/store-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/store-{uuid.uuid4().hex}"
     write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_digests(spark, path).withColumnRenamed("id", "doc_id")
 

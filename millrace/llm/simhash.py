@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_batches, materialise, only, spread, with_fields
+from millrace.llm.common import materialise, only, salted_join, small, spread, with_fields
 from millrace.llm.components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -126,10 +126,9 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id and print (the fingerprint as a signed long). Null and blank texts give 0."""
-    arrow_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = pc.cast(pc.fill_null(b.column(1), ""), pa.binary()).to_pylist()
             out = np.array([fingerprint(t.translate(LOWER).split(), shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], [id_col, "print"])
@@ -137,19 +136,20 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
     return spread(only(docs, [id_col, text_col])).mapInArrow(hashed, with_fields(docs, id_col, "print long"))
 
 
-def in_blocks(keyed: DataFrame, key: str, member: str, block: int) -> DataFrame:
+def in_blocks(keyed: DataFrame, key: str, member: str, block: int, counted: DataFrame | None = None) -> DataFrame:
     """Add block, own, cross: rows of a key with more than ``block`` rows go to several blocks, so any two meet.
 
     own is a row's chunk of its key. Rows of different chunks meet in one block, whose cross is
     true; rows of one chunk meet in the one block whose cross is false, and also where it is true.
+    ``counted`` are slimmer rows of the same keys, if there are any, to count them by.
     """
-    large = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
-    chunks = F.ceil(F.coalesce(F.col("__n"), F.lit(1)) / F.lit(block)).cast("long")
-    dealt = keyed.join(large, key, "left").withColumn("__c", chunks)
+    large = (keyed if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    large = large.withColumn("__c", F.ceil(F.col("n") / F.lit(block)).cast("long"))
+    dealt = salted_join(keyed, large, key, [member], how="left").withColumn("__c", F.coalesce("__c", F.lit(1).cast("long")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col(member)), F.col("__c")))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1)))
     meet = F.least("__j", "own") * F.col("__c") + F.greatest("__j", "own")
-    return dealt.withColumn("block", meet).withColumn("cross", F.col("__j") != F.col("own")).drop("__n", "__c", "__j")
+    return dealt.withColumn("block", meet).withColumn("cross", F.col("__j") != F.col("own")).drop("__c", "__j")
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -227,9 +227,10 @@ def simhash_components(
     """
     if not 0 <= bits <= 3:
         raise ValueError("keys are proven to meet for 0 to 3 bits")
-    made = materialise(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "__id"), "prints")
+    prints = fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "__id")
+    made = materialise(prints.withColumn("row", F.monotonically_increasing_id()), "prints")
     # One row per distinct fingerprint from here on, which is its own node: whatever ids it has, it can link.
-    nodes = made.groupBy("print").agg(F.min("__id").cast("long").alias("least_id")).withColumn("node", F.col("print"))
+    nodes = made.groupBy("print").agg(F.min("__id").cast("long").alias("least_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.col("print"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,9 +244,9 @@ def simhash_components(
     edges = met.mapInArrow(lambda it: link_blocks(it, bits), "a long, b long")
     found = connected_components(edges)
     labels = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = labels.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = labels.join(smallest, "component").select(F.col("print").alias("__p"), "component_id")
-    return made.join(labels, F.col("print") == F.col("__p")).select(
+    smallest = labels.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    labels = salted_join(labels, smallest, "component", ["print"]).select("print", "component_id", F.col("copies").alias("n"))
+    return salted_join(made, labels, "print", ["row"]).select(
         F.col("__id").alias(id_col),
         F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         "component_id",
@@ -353,7 +354,7 @@ def frequent_shingles(given: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
     every = max(1, n // SAMPLED)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 0):
             for t in pc.cast(pc.fill_null(b.column(0), ""), pa.binary()).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], ["h"])
 
@@ -374,7 +375,6 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
     what bounds leave together is compared by its sets, each read once a group. Equal sets are one node from the start.
     component_id is the smallest id that links reach; chosen is one row of it, of that id.
     """
-    arrow_batches(docs.sparkSession)
     given = docs.select(F.struct("*").alias("payload"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
     often, times = frequent_shingles(given, shingle)
     given = spread(given).select(F.struct("payload", "__id", F.monotonically_increasing_id().alias("row")).alias("of"), "text")
@@ -383,7 +383,7 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
+        for b in small(batches):
             digest, size, counts, first = [], [], [], []
             for t in pc.cast(pc.fill_null(b.column(1), ""), pa.binary()).to_pylist():
                 h = shingle_set(t, shingle)
@@ -395,8 +395,8 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
 
     made = materialise(given.mapInArrow(hashed, with_fields(given, "of", "digest binary, size int, sketch binary, first binary")).select("of.*", "digest", "size", "sketch", "first"), "sets")
     # A node is the first row of those with equal sets; only rows that are not are written down.
-    equal = made.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "node")
-    copies = materialise(made.select("row", "digest").join(equal, "digest").filter("row <> node").select("row", "node"), "copies")
+    equal = made.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = materialise(salted_join(made.select("row", "digest"), equal, "digest", ["row"]).filter("row <> node").select("row", "node"), "copies")
     nodes = made.join(copies.select("row"), "row", "left_anti").withColumnRenamed("row", "node")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +446,7 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
             yield spanning_links(key, block_, node, lambda i, j: may_reach(counts[i], counts[j], size[i].astype(np.int64), size[j].astype(np.int64), least))  # noqa: B023
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 2):
             held = [shingle_set(t, shingle).tobytes() for t in pc.cast(pc.fill_null(b.column(2), ""), pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.binary())], ["component", "node", "held"])
 
@@ -473,13 +473,13 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
     loose = connected_components(sized.repartition("group").sortWithinPartitions("group").mapInArrow(bounded, "a long, b long"))
     members = materialise(loose, "members")
     texts = nodes.select("node", F.col("payload").getField(text_col).alias("text")).join(members, "node").select("component", "node", "text")
-    dealt = in_blocks(texts.mapInArrow(sets, "component long, node long, held binary"), "component", "node", block).select("component", "block", "node", "held")
+    dealt = in_blocks(texts.mapInArrow(sets, "component long, node long, held binary"), "component", "node", block, counted=members).select("component", "block", "node", "held")
     found = connected_components(dealt.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a long, b long"))
     # Slim rows from here on: each with its node's component, and of each component the row of the smallest id.
     slim = made.select("row", "__id").join(copies, "row", "left").withColumn("node", F.coalesce("node", "row"))
     slim = slim.join(found, "node", "left").select("row", "__id", F.coalesce("component", "node").alias("component"))
-    first = slim.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("null"), "__id", "row")).alias("first"))
-    labels = slim.join(first, "component").select("row", F.col("first.__id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("chosen"))
+    first = slim.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("null"), "__id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    labels = salted_join(slim, first, "component", ["row"]).select("row", F.col("first.__id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("chosen"))
     return made.select("row", "payload"), labels
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import arrow_batches, only, spread, with_fields
+from millrace.llm.common import only, small, spread, with_fields
 from millrace.llm.tokens import Encoder, encoder
 
 STABLE = re.compile(r"(?<=[A-Za-z0-9])(?= )")
@@ -71,8 +71,6 @@ def token_counts(
     same id are counted each. Documents beyond ``chunk`` characters are resynchronised if the
     tokenizer is a byte-level one, for which stable positions are proven; others are encoded whole.
     """
-    arrow_batches(docs.sparkSession)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer.endswith(".model"):
             import sentencepiece
@@ -87,7 +85,7 @@ def token_counts(
                 small = iter(enc.encode([t for t, h in zip(texts, huge, strict=True) if not h]))
                 return [resync_count(enc, t, chunk, overlap) if h else len(next(small)) // 4 for t, h in zip(texts, huge, strict=True)]
 
-        for b in batches:
+        for b in small(batches):
             texts = pc.fill_null(b.column(1), "")
             n = pa.array(sizes(texts.to_pylist()), pa.int64())
             n_bytes = pc.cast(pc.binary_length(pc.cast(texts, pa.binary())), pa.int64())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import arrow_batches, only, running_total, spread
+from millrace.llm.common import delete, only, running_total, small, spread
 from millrace.llm.tokens import encoder
 
 #: Ids the rolling hash looks at, and the bounds and the mean of a chunk's ids.
@@ -97,12 +97,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     besides ``id_col`` and ``text_col`` are ignored.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     kind = dict(docs.dtypes)[id_col]
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail, sent = encoder(tokenizer, PIECES), np.array([end_id], "<u4").tobytes(), set()
-        for b in batches:
+        for b in small(batches):
             row, hashes, lengths = [], [], []  # recipes
             new_hash, new_width, new_ids = [], [], []  # chunks
             raw = [x + tail for x in enc.encode(pc.fill_null(b.column(1), "").to_pylist())]
@@ -169,7 +168,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     ordered = ordered.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     ordered = ordered.select("id", "start", "n_tokens", "hashes", root("hashes").alias("root"), F.spark_partition_id().alias("range"))
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    discard_parts(spark, f"{path}/raw/part=recipes")
+    delete(spark, f"{path}/raw/part=recipes")
 
     ranges(recipes(spark, path, kind), kind).write.parquet(f"{path}/manifest")
 
@@ -198,10 +197,6 @@ def make_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
 
 
-def discard_parts(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("hashes binary, width int, ids binary").parquet(f"{path}/raw/part=chunks").withColumnRenamed("hashes", "hash")
 
@@ -308,9 +303,6 @@ def read_digests(spark: SparkSession, path: str, kind: str = "long") -> DataFram
     fits = F.when(F.col("held") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error("a recipe's chunks do not add up").cast("long"))
     return rows.join(whole, "start").select("id", "start", fits.alias("n_tokens"), "ids_crc32")
 
-#: Places at which a chunk's sums meet its uses.
-SALTS = 8
-
 def read_documents(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     """Per document its ids: id, start, ids array<long>, put together from the store's chunks."""
     rows = recipes(spark, path, kind).select("id", "start", F.posexplode(F.expr(f"transform(sequence(0, length(hashes) div {DIGEST} - 1), i -> substring(hashes, i * {DIGEST} + 1, {DIGEST}))")).alias("seq", "hash"))

@@ -4,7 +4,7 @@ The lexicon is learned: hashed 4- to 6-grams of words (their ends marked, so who
 stems are among them) that toxic texts hold far more often than others. Trees are fitted over rates
 of a text: lexicon densities, lexicon words close to a second-person word, capitals, punctuation,
 obfuscation. Isotonic regression calibrates their sums. Labelled rows are dealt to folds by a hash of
-their id: a row's rates come from a lexicon, and its sum for the calibration from trees, of the
+their text: a row's rates come from a lexicon, and its sum for the calibration from trees, of the
 other folds.
 """
 
@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_batches, only, spread, with_fields
+from millrace.llm.common import only, sampled, small, spread, with_fields
 
-#: Labelled rows that training uses at most, about, drawn by a hash of their id.
+#: Labelled rows that training uses at most, about, drawn by a hash of the row.
 SAMPLE = 12_000
 FOLDS = 5
 BUCKETS = 1 << 20
@@ -142,7 +142,7 @@ class Tokens:
         return np.stack(
             [
                 lexicon / words, lexicon, weight / words, strong / words, strong, close / words, second / words, capital / letters, caps / words,
-                punctuation / chars, exclaim / chars, mixed / words, repeated / words, single / words, np.log1p(n), chars / words,
+                punctuation / chars, exclaim / chars, mixed / words, repeated / words, single / words, np.log1p(n), np.where(n > 0, chars / words, 0),
             ], axis=1,
         )
 
@@ -228,23 +228,21 @@ def lexicon(n0: np.ndarray, n1: np.ndarray, all0: float, all1: float) -> np.ndar
 
 
 def train(labelled: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on about ``sample`` rows with a text and a label of 0 or 1, drawn by a hash of their id.
+    """Fit on about ``sample`` rows with a text and a label of 0 or 1, drawn by a hash of id, text and label; rows that repeat count once.
 
     The driver gets sums by gram and one row of numbers per row of the sample. If either class is
     missing, every score is the share of label 1 (0 without rows).
     """
-    arrow_batches(labelled.sparkSession)
     context = labelled.sparkSession.sparkContext
     rows = only(labelled, [id_col, text_col, label_col]).toDF("id", "text", "y").filter("text is not null and y in (0, 1)")
-    share = sample / max(1, rows.count())
-    unit = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    rows = rows.filter(unit < share).select("id", fold.alias("fold"), "text", F.col("y").cast("int").alias("y"))
+    # Rows of one text are in one fold, so that no lexicon has seen another copy of the text it is tried on.
+    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    rows = sampled(rows, sample, ["id", "text", "y"]).select("id", fold.alias("fold"), "text", F.col("y").cast("int").alias("y"))
     rows = rows.repartition(context.defaultParallelism * 2).persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((FOLDS, 2, BUCKETS + 1), np.int32)  # the last counts texts
-        for b in batches:
+        for b in small(batches, 2):
             for fold, text, y in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 bucket = grams(list({core(t) for t in text.split()}))[1]
                 n[fold, y, np.unique(bucket)] += 1
@@ -279,7 +277,7 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id",
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = [Tokens(m) for m in shared.value]
-        for b in batches:
+        for b in small(batches, 2):
             fold = b.column(1).to_numpy()
             for k in np.unique(fold):
                 mine = b.filter(pa.array(fold == k))
@@ -288,7 +286,7 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id",
 
     # In order, so that equal data give equal trees.
     kind = dict(rows.dtypes)["id"]
-    got = rows.mapInArrow(measure, f"fold int, y int, x array<double>, id {kind}").orderBy("id", "y").toArrow()
+    got = rows.mapInArrow(measure, f"fold int, y int, x array<double>, id {kind}").orderBy("id", "y", "x").toArrow()
     rows.unpersist()
     fold, y = got.column("fold").to_numpy(), got.column("y").to_numpy().astype(float)
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
@@ -308,13 +306,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     Whole texts are read. A null text counts as empty, whose features are all 0. Rows that repeat
     stay; other columns are ignored.
     """
-    arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         tokens = Tokens(m)
-        for b in batches:
+        for b in small(batches):
             x = tokens.features(pc.fill_null(b.column(1), "").to_pylist())
             p = np.interp(margins(m.trees, x, m.base), *m.knots)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])

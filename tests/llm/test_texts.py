@@ -239,3 +239,92 @@ def test_quality_tells_junk_from_prose(spark):
     assert sum(got[i]["predicted"] == g for i, g in enumerate(good)) / len(good) > 0.95
     assert len(got) == 300 + len(EDGES) and all(0 <= r["score"] <= 1 and 0 <= r["posterior"] <= 1 and len(r["votes"]) == 9 for r in got.values())
     assert quality.quality(documents(spark, [])).count() == 0
+
+
+def plain_votes(text):
+    """The labellers one by one, as their table says."""
+    w, lines = text.split(), [x.strip() for x in text.split("\n") if x.strip()]
+    n, chars = len(w), sum(map(len, w))
+    letters, alnum = sum(c.isalpha() for x in w for c in x), sum(c.isalnum() for x in w for c in x)
+    if not n:
+        return [2, 2, 2, 2, 2, 2, 2, 0, 2]
+    words = [x.strip(".,;:!?()[]\"'").lower() for x in w]
+    symbol, capital, length = (chars - alnum) / chars, sum(c.isupper() for x in w for c in x) / max(letters, 1), chars / n
+    variety, known = len(set(words)) / n**0.85, sum(x in quality.FUNCTION_WORDS for x in words) / n
+    ended, fresh = sum(bool(re.search(r"[.!?。！？]['\")\]]?$", x)) for x in lines) / max(len(lines), 1), len(set(lines)) / max(len(lines), 1)
+    runs_ = sum(len(re.findall(r"[^\w\s]{2,}", x)) for x in w) / n
+    table = [
+        (symbol < 0.08, symbol > 0.15), (capital < 0.15, capital > 0.4), (n >= 20 and variety > 0.5, n >= 20 and variety < 0.25), (3 <= length <= 9, length < 2 or length > 14),
+        (ended > 0.6, ended < 0.2), (n >= 20 and known > 0.08, n >= 20 and known < 0.02), (len(lines) > 2 and fresh > 0.95, fresh < 0.7), (n >= 60, n < 15), (runs_ < 0.01, runs_ > 0.1),
+    ]
+    return [1 if good else 0 if bad else 2 for good, bad in table]
+
+
+def test_votes_against_plain_labellers(monkeypatch):
+    rng = random.Random(14)
+    say_ = lambda n: " ".join(rng.choice(["the", "and", "Word", "caps", "LOUD", "a--b", "??!", "end.", "x1", "der", "don't", "(so)", "ünï", "123,"]) + rng.choice(["", "", ".", ",", "!!"]) for _ in range(n))
+    texts = [t or "" for t in EDGES] + ["\n".join(say_(rng.randrange(12)) for _ in range(rng.randrange(9))) for _ in range(300)] + ["same line.\n" * 9, "A b.\n" * 3 + "c d e."]
+    tokens = quality.Tokens()
+    for memory in (500_000, 20):
+        monkeypatch.setattr(quality, "MEMORY", memory)
+        for i in range(0, len(texts), 37):
+            some = texts[i : i + 37]
+            assert quality.votes(tokens, some, tokens.ids(some)).tolist() == [plain_votes(t) for t in some]
+
+
+def test_shares_are_bounded_and_add_up():
+    at, share = quality.shares(np.array([3, 3, 3, 65_535, 0, 0]))
+    assert at.tolist() == [0, 3, 65_535] and np.allclose(share, [2 / 6, 3 / 6, 1 / 6]) and len(quality.shares(np.empty(0, np.int64))[0]) == 0
+
+
+def test_quality_of_repeated_and_null_ids(spark):
+    rows = [(None, "good words here.\n" * 3), (None, None), (7, "x"), (7, "x"), (None, "")]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), sample=2).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == ["7", "7", "None", "None", "None"]
+
+
+# --- features and trees of toxicity, by brute force -------------------------------------------
+
+
+def test_features_against_plain_counts():
+    rng = random.Random(15)
+    words = ["you", "vile", "VILEST", "ok", "fine!!", "a.b", "h3llo", "soooo", "w", "DU", "kind,", "x1y", "-", "vile."]
+    texts = [""] + [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(200)]
+    model = toxicity.Model(strong=2.0)
+    for stem, weight in (("vile", 2.5), ("kind", 1.0)):
+        model.lexicon[toxicity.grams([stem])[1]] = weight
+    got = toxicity.Tokens(model).features(texts)
+    for text, row in zip(texts, got, strict=True):
+        w = text.split()
+        cores = [toxicity.core(t) for t in w]
+        weight = [max([0.0, *model.lexicon[toxicity.grams([c])[1]].tolist()]) for c in cores]
+        n, chars, letters = max(len(w), 1), max(sum(map(len, w)), 1), max(sum(c.isalpha() for t in w for c in t), 1)
+        you = [i for i, c in enumerate(cores) if c in toxicity.SECOND_PERSON]
+        bad = [i for i, x in enumerate(weight) if x > 0]
+        caps = sum(len([c for c in t if c.isalpha()]) > 1 and all(c.isupper() for c in t if c.isalpha()) for t in w)
+        plain = [
+            len(bad) / n, len(bad), sum(weight) / n, sum(x >= 2 for x in weight) / n, sum(x >= 2 for x in weight),
+            sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in bad) / n, len(you) / n, sum(c.isupper() for t in w for c in t) / letters, caps / n,
+            sum(not c.isalnum() for t in w for c in t) / chars, text.count("!") / chars,
+        ]
+        assert np.allclose(row[: len(plain)], plain, atol=1e-5), text
+        assert np.isclose(row[-2], np.log1p(len(w))) and np.isclose(row[-1], sum(map(len, w)) / n)
+
+
+def test_trees_split_where_brute_force_does(monkeypatch):
+    """One stump on few rows: the split of most gain among all, and its leaves."""
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    monkeypatch.setattr(toxicity, "DEPTH", 1)
+    rng = np.random.default_rng(16)
+    x = np.round(rng.normal(size=(25, 3)), 1)
+    y = (x[:, 1] + rng.normal(size=25) * 0.3 > 0).astype(float)
+    base, [(feature, threshold, leaf)] = toxicity.boost(x, y)
+    q = 1 / (1 + np.exp(-base))
+    g, h = y - q, np.full(25, q * (1 - q))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + toxicity.RIDGE)
+    splits = [(score(x[:, k] <= c) + score(x[:, k] > c) - score(np.ones(25, bool)), k, c) for k in range(3) for c in (np.unique(x[:, k])[1:] + np.unique(x[:, k])[:-1]) / 2]
+    gain = max(s[0] for s in splits)
+    assert any(np.isclose(s, gain) and k == feature[0] and np.isclose(c, threshold[0]) for s, k, c in splits)
+    for side, value in ((x[:, feature[0]] <= threshold[0], leaf[0]), (x[:, feature[0]] > threshold[0], leaf[1])):
+        assert np.isclose(value, toxicity.RATE * g[side].sum() / (h[side].sum() + toxicity.RIDGE))
+    assert np.allclose(toxicity.margins([(feature, threshold, leaf)], x, base), base + np.where(x[:, feature[0]] > threshold[0], leaf[1], leaf[0]))
