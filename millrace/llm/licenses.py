@@ -110,6 +110,8 @@ TAG = r"spdx license identifier "
 SURE = {1: 0.99, 2: 0.95, 3: 0.7}
 END = "(?= |$)"
 MARK = "\x01"
+#: Rules whose patterns are tried as one before each by itself.
+TOGETHER = 8
 
 
 def rules() -> list[tuple[int, str, str, str]]:
@@ -162,23 +164,55 @@ def phrase_columns(words: Column, n_words: Column) -> dict[str, Column]:
     }
 
 
-def detections(words: str) -> Column:
-    """Of a column of words: array of (start, end, priority, label), in order of start, longest first."""
-    table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(f" {x}{END}").alias("pattern"), F.lit(label).alias("label")) for p, k, x, label in rules()])
-    tried = F.filter(table, lambda r: F.contains(F.col(words), F.concat(F.lit(" "), r["keyword"])))
+def gated(words: str) -> Column:
+    """The rules' matches in a column of words: array of (priority, label, pieces), pieces being the words cut at a rule's matches.
+
+    Patterns are literals, so each is compiled once a task. Three gates stand before a rule: a keyword in the text, an alternation of
+    TOGETHER rules, and the rule itself; a text that names one license tries a few dozen rules, one without a keyword none.
+    """
+    groups: dict[tuple[str, int], list[tuple[str, str]]] = {}
+    for priority, keyword, pattern, label in rules():
+        groups.setdefault((keyword, priority), []).append((pattern, label))
+    text, found = F.col(words), []
+    none = F.array().cast("array<struct<priority: int, label: string, pieces: array<string>>>")
+
+    def tried(pattern: str, label: str, priority: int) -> Column:
+        # MARK before and after each match; no word holds it, so every second piece is a match.
+        marked = F.regexp_replace(text, F.lit(f"( {pattern}){END}"), F.lit(f"{MARK}$1{MARK}"))
+        return F.struct(F.lit(priority).alias("priority"), F.lit(label).alias("label"), F.split(marked, MARK, -1).alias("pieces"))
+
+    for (keyword, priority), patterns in sorted(groups.items()):
+        some = []
+        for i in range(0, len(patterns), TOGETHER):
+            part = patterns[i : i + TOGETHER]
+            either = f" (?:{'|'.join(f'(?:{p})' for p, _ in part)}){END}"
+            some.append(F.when(F.rlike(text, F.lit(either)), F.array(*[tried(p, label, priority) for p, label in part])).otherwise(none))
+        opening = F.contains(text, F.lit(f" {keyword}"))
+        if priority == 1:
+            opening &= F.contains(text, F.lit(f" {TAG}"))
+        elif priority == 2:
+            opening &= F.rlike(text, F.lit(f" {GRANT}"))
+        found.append(F.when(opening, F.flatten(F.array(*some))).otherwise(none))
+    return F.flatten(F.array(*found))
+
+
+def detections(gated: str) -> Column:
+    """Of a column of ``gated`` rules: array of (start, end, priority, label), in order of start, longest first."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("nth"), F.array().cast("array<struct<start: int, to: int>>").alias("found"))
+
+    def step(s: Column, piece: Column) -> Column:
+        then = s["at"] + spaces(piece)
+        match = F.array(F.struct(s["at"].alias("start"), (-then).alias("to")))
+        return F.struct(then.alias("at"), (s["nth"] + 1).alias("nth"), F.when(s["nth"] % 2 == 1, F.concat(s["found"], match)).otherwise(s["found"]).alias("found"))
 
     def places(r: Column) -> Column:
-        # A mark goes before each match; it is the k-th mark's own place less the marks before it.
-        marked = F.split(F.regexp_replace(F.col(words), F.concat(F.lit("("), r["pattern"], F.lit(")")), F.lit(f" {MARK}$1")), " ")
-        at = F.filter(F.transform(marked, lambda w, j: F.when(w == MARK, j)), lambda j: j.isNotNull())
-        texts = F.regexp_extract_all(F.col(words), r["pattern"], F.lit(0))
-        # marked begins with an empty string, as words begin with a space.
-        return F.transform(at, lambda j, k: F.struct((j - k - 1).alias("start"), (j - k - 1 + spaces(F.get(texts, k))).alias("end"), r["priority"].alias("priority"), r["label"].alias("label")))
+        found = F.aggregate(r["pieces"], start, step, lambda s: s["found"])
+        return F.transform(found, lambda d: F.struct(d["start"].alias("start"), d["to"].alias("to"), r["priority"].alias("priority"), r["label"].alias("label")))
 
     # Sorted as (start, -end, priority, label).
-    found = F.flatten(F.transform(tried, places))
-    keyed = F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("to"), d["priority"].alias("priority"), d["label"].alias("label")))
-    return F.transform(F.array_sort(keyed), lambda d: F.struct(d["start"].alias("start"), (-d["to"]).alias("end"), d["priority"].alias("priority"), d["label"].alias("label")))
+    several = F.filter(F.col(gated), lambda r: F.size(r["pieces"]) > 1)
+    keyed = F.array_sort(F.flatten(F.transform(several, places)))
+    return F.transform(keyed, lambda d: F.struct(d["start"].alias("start"), (-d["to"]).alias("end"), d["priority"].alias("priority"), d["label"].alias("label")))
 
 
 def surviving(found: str) -> Column:
@@ -211,7 +245,8 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         w = w.withColumn(name, column)
     gate = reduce(Column.__or__, [F.contains("w", F.lit(f" {k}")) for k in _gates()])
     empty = F.array().cast("array<struct<start: int, end: int, priority: int, label: string>>")
-    w = w.withColumn("detections", F.when(gate, detections("w")).otherwise(empty))
+    w = w.withColumn("gated", F.when(gate, gated("w")))
+    w = w.withColumn("detections", F.when(F.size("gated") > 0, detections("gated")).otherwise(empty))
     w = w.withColumn("kept", F.when(F.size("detections") > 0, surviving("detections")))
     found = F.coalesce("kept.labels", F.array().cast("array<string>"))
     sure = F.when(F.col("n_base") > 0, F.lit(SURE[3])).otherwise(F.lit(0.0))
