@@ -134,10 +134,10 @@ class Tokens:
         you, bad = np.flatnonzero(rows[:, 3]), np.flatnonzero(rows[:, 0])
         close = np.zeros(len(n))
         if len(you) and len(bad):
-            after = np.searchsorted(you, bad)
+            after, near = np.searchsorted(you, bad), np.zeros(len(bad), bool)
             for side in (np.minimum(after, len(you) - 1), np.maximum(after - 1, 0)):
-                near = (np.abs(you[side] - bad) <= NEAR) & (text[you[side]] == text[bad])
-                close = np.maximum(close, np.bincount(text[bad], near, len(n)))
+                near |= (np.abs(you[side] - bad) <= NEAR) & (text[you[side]] == text[bad])
+            close = np.bincount(text[bad], near, len(n))
         words, chars, letters = np.maximum(n, 1), np.maximum(chars, 1), np.maximum(letters, 1)
         return np.stack(
             [
