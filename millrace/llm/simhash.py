@@ -136,16 +136,17 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
     return spread(only(docs, [id_col, text_col])).mapInArrow(hashed, with_fields(docs, id_col, "print long"))
 
 
-def in_blocks(keyed: DataFrame, key: str, member: str, block: int, counted: DataFrame | None = None) -> DataFrame:
+def in_blocks(keyed: DataFrame, key: str, member: str, block: int, counted: DataFrame | None = None, alone: bool = True) -> DataFrame:
     """Add block, own, cross: rows of a key with more than ``block`` rows go to several blocks, so any two meet.
 
     own is a row's chunk of its key. Rows of different chunks meet in one block, whose cross is
     true; rows of one chunk meet in the one block whose cross is false, and also where it is true.
-    ``counted`` are slimmer rows of the same keys, if there are any, to count them by.
+    ``counted`` are slimmer rows of the same keys, if there are any, to count them by. Without ``alone`` rows that
+    are the only ones of their key are left out.
     """
-    large = (keyed if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    large = large.withColumn("__c", F.ceil(F.col("n") / F.lit(block)).cast("long"))
-    dealt = salted_join(keyed, large, key, [member], how="left").withColumn("__c", F.coalesce("__c", F.lit(1).cast("long")))
+    counts = (keyed if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.filter(F.col("n") > (block if alone else 1)).withColumn("__c", F.ceil(F.col("n") / F.lit(block)).cast("long"))
+    dealt = salted_join(keyed, counts, key, [member], how="left" if alone else "inner").withColumn("__c", F.coalesce("__c", F.lit(1).cast("long")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col(member)), F.col("__c")))
     dealt = dealt.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1)))
     meet = F.least("__j", "own") * F.col("__c") + F.greatest("__j", "own")

@@ -4,11 +4,13 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from millrace.llm import simhash
 from millrace.llm.components import connected_components
-from millrace.llm.embedding_dedup import embedding_components, list_decode
+from millrace.llm import embedding_dedup
+from millrace.llm.embedding_dedup import codes, embedding_components, list_decode
 from millrace.llm.simhash import fingerprint, golay_index, keys, link_blocks, simhash_components
 
 
@@ -178,16 +180,44 @@ def test_embeddings_of_an_empty_table(spark):
     assert embedding_components(vectors(spark, [])).count() == 0
 
 
-def test_pairs_at_the_threshold_share_a_filter():
+@pytest.mark.parametrize("shape,n", [((2, 128), 20_000), ((2, embedding_dedup.TWO_BLOCKS), 5_000), ((3, 512), 3_000)])
+def test_pairs_at_the_threshold_share_a_filter(shape, n):
+    """Also at the largest size with two blocks, and with three."""
     rng = np.random.default_rng(8)
-    a = rng.normal(size=(20_000, 64))
+    a = rng.normal(size=(n, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     z = rng.normal(size=a.shape)
     z -= (z * a).sum(axis=1, keepdims=True) * a
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    b = 0.98 * a + np.sqrt(1 - 0.98**2) * z
-    shared = [bool(set(x) & set(y)) for x, y in zip(list_decode(a, 128).tolist(), list_decode(b, 128).tolist(), strict=True)]
-    assert sum(shared) == len(a)
+    both = []
+    for v in (a, 0.98 * a + np.sqrt(1 - 0.98**2) * z):
+        starts, filters = list_decode(v, *shape, 0.98)
+        both.append([set(filters[i:j].tolist()) for i, j in zip(starts, starts[1:], strict=False)])
+    assert all(x & y for x, y in zip(*both, strict=True))
+    share = embedding_dedup.missed(codes(64, *shape, 0.98)[1], 64, 0.98)
+    assert share ** len(codes(64, *shape, 0.98)) < 1e-7
+
+
+@pytest.mark.parametrize("blocks,size", [(2, 64), (3, 16)])
+def test_decoding_finds_every_direction_that_reaches_the_threshold(blocks, size):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(400, 20)) * rng.choice([1.0, 9.0], size=(400, 20))  # uneven blocks, too
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    code = embedding_dedup.make_code(20, blocks, size, 0)
+    rows, at = code.decode(v)
+    scores = code.scores(v)
+    every = scores[0]
+    for s in scores[1:]:
+        every = (every[:, :, None] + s[:, None, :]).reshape(len(v), -1)
+    for i in range(len(v)):
+        reached = set(np.flatnonzero(every[i] >= code.threshold).tolist())
+        want = reached if len(reached) >= embedding_dedup.LIST else set(np.argsort(-every[i])[: embedding_dedup.LIST].tolist())
+        assert set(at[rows == i].tolist()) == want
+
+
+def test_sizes_grow_with_the_rows():
+    shapes = [embedding_dedup.code_shape(n) for n in (0, 1, 5_000, 10**6, 1 << 24, (1 << 24) + 1, 10**9, 10**12)]
+    assert shapes == [(2, 64), (2, 64), (2, 64), (2, 1024), (2, 4096), (3, 512), (3, 1024), (3, 16384)]
 
 
 def jaccard(a, b, n=5):
