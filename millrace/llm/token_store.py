@@ -6,7 +6,8 @@ passages give equal chunks wherever they stand. Under the store's folder lie thr
   chunks     hash, width, ids: every distinct chunk once, under the BLAKE2b digest of its content
   recipes    id, start, n_tokens, hashes, root: how to put a document together again, in ascending
              id order; root is the Merkle root over the document's chunk hashes
-  manifest   one row per range of recipes: first and last id, rows, Merkle root over the rows' roots
+  manifest   one row per range of recipes: first and last id, rows, ids, where it starts, Merkle root over the rows' roots; and one
+             row, range -1, over all ranges, with the root over theirs
 
 Only a chunk's first occurrence in a task carries its content through the one large shuffle, so a
 passage that every document repeats is moved once per task. Reading verifies every hash.
@@ -170,27 +171,35 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
     delete(spark, f"{path}/raw/part=recipes")
 
-    ranges(recipes(spark, path, kind), kind).write.parquet(f"{path}/manifest")
+    sealed(spark, ranges(recipes(spark, path, kind), kind)).write.parquet(f"{path}/manifest")
 
 def ranges(rows: DataFrame, kind: str) -> DataFrame:
     """The manifest of a table of recipes: one row per range, with the Merkle root over its rows' roots."""
 
     def seal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, first, last, leaves = None, None, None, []
-        row = lambda: pd.DataFrame({"range": [at], "first": [first], "last": [last], "n": [len(leaves)], "root": [merkle(leaves)]})
+        at, first, last, leaves, start, ids = None, None, None, [], 0, 0
+        row = lambda: pd.DataFrame({"range": [at], "first": [first], "last": [last], "n": [len(leaves)], "start": [start], "ids": [ids], "root": [merkle(leaves)]})
         for b in batches:
-            for r, i, leaf in zip(b["range"], b["id"], b["root"], strict=True):
+            for r, i, leaf, begin, n in zip(b["range"], b["id"], b["root"], b["start"], b["n_tokens"], strict=True):
                 if r != at:
                     if at is not None:
                         yield row()
-                    at, first, leaves = r, i, []
+                    at, first, leaves, start, ids = r, i, [], begin, 0
                 last = i
+                ids += n
                 leaves.append(bytes(leaf))
         if at is not None:
             yield row()
 
-    slim = rows.select("range", "id", "start", "root").repartition("range").sortWithinPartitions("range", F.col("id").asc_nulls_first(), "start")
-    return slim.select("range", "id", "root").mapInPandas(seal, f"range int, first {kind}, last {kind}, n long, root binary")
+    slim = rows.select("range", "id", "start", "n_tokens", "root").repartition("range").sortWithinPartitions("range", F.col("id").asc_nulls_first(), "start")
+    return slim.mapInPandas(seal, f"range int, first {kind}, last {kind}, n long, start long, ids long, root binary")
+
+
+def sealed(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """The ranges and a row over all of them: how many, how many ids, and the root over their roots. The driver gets one row per range."""
+    rows = found.orderBy("range").collect()
+    top = (-1, None, None, len(rows), 0, sum(r["ids"] for r in rows), merkle([bytes(r["root"]) for r in rows]))
+    return spark.createDataFrame([*map(tuple, rows), top], found.schema).coalesce(1)
 
 def make_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -238,7 +247,8 @@ def read_digests(spark: SparkSession, path: str, kind: str = "long") -> DataFram
 
     Every chunk's content is read, hashed against its address and summed up; a recipe's sums are
     joined in its order. A chunk that is missing, or a hash or root that does not fit, raises; so do
-    recipes that differ from the manifest in ranges, rows or roots, before anything else is read.
+    recipes that differ from the manifest in ranges, rows, ids or roots, before anything else is read. Rows with null
+    or repeated ids are documents of their own.
     """
     if verify_manifest(spark, path, kind).limit(1).count():
         raise ValueError("the recipes do not fit the manifest")
@@ -304,7 +314,11 @@ def read_digests(spark: SparkSession, path: str, kind: str = "long") -> DataFram
     return rows.join(whole, "start").select("id", "start", fits.alias("n_tokens"), "ids_crc32")
 
 def read_documents(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
-    """Per document its ids: id, start, ids array<long>, put together from the store's chunks."""
+    """Per document its ids: id, start, ids array<long>, put together from the store's chunks.
+
+    Rows with a null or repeated id are documents of their own, told apart by start. Of an empty store there are none. Hashes are
+    not verified here: ``read_digests`` does that.
+    """
     rows = recipes(spark, path, kind).select("id", "start", F.posexplode(F.expr(f"transform(sequence(0, length(hashes) div {DIGEST} - 1), i -> substring(hashes, i * {DIGEST} + 1, {DIGEST}))")).alias("seq", "hash"))
 
     @F.pandas_udf("array<long>")
@@ -315,7 +329,15 @@ def read_documents(spark: SparkSession, path: str, kind: str = "long") -> DataFr
     return held.groupBy("id", "start").agg(F.expr("flatten(transform(array_sort(collect_list(struct(seq, ids))), x -> x.ids))").alias("ids"))
 
 def verify_manifest(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
-    """Ranges of the manifest that the recipes do not fit, or that are missing on either side: none if all is well."""
-    held = spark.read.schema(f"range int, first {kind}, last {kind}, n long, root binary").parquet(f"{path}/manifest")
+    """Ranges of the manifest that the recipes do not fit, or that are missing on either side, and range -1 if ranges are
+    missing on both or do not begin where the ones before end: none if all is well.
+
+    Rows with null or repeated ids count each. A store without a manifest raises.
+    """
     found = ranges(recipes(spark, path, kind), kind)
-    return held.exceptAll(found).union(found.exceptAll(held))
+    held = spark.read.schema(found.schema).parquet(f"{path}/manifest")
+    made = sealed(spark, found)
+    off = held.exceptAll(made).union(made.exceptAll(held))
+    lower = F.sum("ids").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    gaps = made.filter("range >= 0").withColumn("lower", F.coalesce(lower, F.lit(0))).filter("start <> lower").drop("lower")
+    return off.union(gaps)
