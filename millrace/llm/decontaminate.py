@@ -26,7 +26,7 @@ from millrace.llm.common import materialise, only, small, spread, with_fields
 
 WINDOW, GRAM = 10, 5
 RUN = WINDOW - GRAM + 1
-#: Bits of the bitmap as a power of two: 2 MB, whatever the benchmark's size.
+#: Bits of the bitmap as a power of two: 2 MB where it is sent and where it is used, whatever the benchmark's size.
 BITMAP = 24
 #: Words a worker remembers the hash of.
 MEMORY = 200_000
@@ -83,8 +83,10 @@ def selected(grams: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.unique((at + np.arange(n))[inside[:n]])
 
 
-def bits_of(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - BITMAP)).astype(np.int64)
+def in_bitmap(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key's top bits is set in a bitmap of bytes."""
+    at = (key >> np.uint64(64 - BITMAP)).astype(np.int64)
+    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
 def prints(h: np.ndarray, starts: np.ndarray, short: list[int], bitmap: np.ndarray | None, whole_items: bool) -> list[tuple]:
@@ -96,7 +98,7 @@ def prints(h: np.ndarray, starts: np.ndarray, short: list[int], bitmap: np.ndarr
     """
     out, sizes = [], np.diff(starts)
     text = np.repeat(np.arange(len(sizes)), sizes)
-    passes = (lambda key: bitmap[bits_of(key)]) if bitmap is not None else (lambda key: np.ones(len(key), bool))
+    passes = (lambda key: in_bitmap(bitmap, key)) if bitmap is not None else (lambda key: np.ones(len(key), bool))
     if len(h) >= WINDOW:
         inside = text[: len(h) - WINDOW + 1] == text[WINDOW - 1 :]
         grams, windows = runs(h, GRAM), runs(h, WINDOW) | np.uint64(1)
@@ -146,13 +148,13 @@ def winnowed(texts: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray |
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Which of 2**BITMAP values the keys' top bits take. The driver gets at most 2**BITMAP / 64 rows."""
+    """A bit for each of the 2**BITMAP values that the keys' top bits take, in bytes. The driver gets at most 2**BITMAP / 64 pairs of numbers."""
     at = F.shiftrightunsigned("key", 64 - BITMAP)
     rows = keys.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITMAP}) & 63 as int))").alias("bit"))
     out = np.zeros(1 << BITMAP >> 6, np.int64)
-    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        out[r["word"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    got = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.astype("<i8").view(np.uint8)
 
 
 def _covered() -> Column:

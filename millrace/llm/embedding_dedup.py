@@ -198,7 +198,7 @@ def embedding_components(
     """
     kind = vectors.schema[vector_col].dataType.elementType.typeName()
     number, byte = ("float", "<f4") if kind == "float" else ("double", "<f8")
-    rows = only(vectors, [id_col, vector_col, label_col]).toDF("id", "v", "label").withColumn("v", F.col("v").cast(f"array<{number}>"))
+    rows = spread(only(vectors, [id_col, vector_col, label_col])).toDF("id", "v", "label").withColumn("v", F.col("v").cast(f"array<{number}>"))
     sound = F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & sound, F.lit(False))).withColumn("row", F.monotonically_increasing_id())
     made = materialise(rows.withColumn("same", F.when(F.col("ok"), F.struct(F.xxhash64("label", "v").alias("a"), F.xxhash64(F.lit(1), "v", "label").alias("b")))), "vectors")
@@ -231,7 +231,7 @@ def embedding_components(
 
     label = dict(rows.dtypes)["label"]
     firsts = made.select(F.col("row").alias("node"), "v", "label").join(nodes.select("node", "copies"), "node")
-    decoded = spread(firsts).mapInArrow(decode, f"node long, label {label}, raw binary, filters array<long>, copies long")
+    decoded = firsts.mapInArrow(decode, f"node long, label {label}, raw binary, filters array<long>, copies long")
     decoded = materialise(decoded, "filters")
     met = decoded.select("node", F.xxhash64("label", F.length("raw")).alias("group"), F.explode("filters").alias("filter"))
     met = met.select("node", "filter", F.xxhash64("group", "filter").alias("key"))

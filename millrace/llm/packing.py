@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences by the sum-of-squares rule.
 
 Documents are encoded and cut into pieces no longer than a sequence. Pieces are dealt to groups
-of a bounded size by a hash; each group is packed by itself, largest piece first: a piece goes
+of a bounded size by a hash of the row, whatever ids repeat; each group is packed by itself, largest piece first: a piece goes
 where the sum, over residual gaps, of the squared number of open bins with that gap becomes
 smallest. Groups keep every task bounded; what a group wastes is a few part-filled bins.
 """
@@ -77,7 +77,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack(cut: DataFrame, *, capacity: int = 4096, group: int = GROUP, id_col: str = "doc_id") -> DataFrame:
-    """Add sequence_id and offset to a table of pieces (as ``pieces`` returns it).
+    """Add sequence_id and offset to a table of pieces (as ``pieces`` returns it, written down, so that it has its rows in one order).
 
     Every piece keeps its row; repeated rows are packed as often as they occur. Sequence ids are
     the group's number times 2**32 plus the bin's number. An empty table gives an empty table.
@@ -90,7 +90,7 @@ def pack(cut: DataFrame, *, capacity: int = 4096, group: int = GROUP, id_col: st
         return pdf.assign(sequence_id=(pdf["__group"].to_numpy(np.int64) << 32) + bins, offset=offsets).drop(columns="__group")
 
     schema = StructType([*cut.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
-    dealt = cut.withColumn("__group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups)).cast("int"))
+    dealt = cut.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return dealt.groupBy("__group").applyInPandas(place, schema)
 
 

@@ -69,8 +69,8 @@ def golay_index(words: np.ndarray) -> np.ndarray:
     return (words ^ ERRORS[syndrome]) >> 11
 
 
-def keys(prints: np.ndarray, word: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """For unsigned 64-bit fingerprints: row numbers and keys, without repeats in a row. word tells several prints of a text apart."""
+def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For unsigned 64-bit fingerprints: row numbers and keys, without repeats in a row."""
     rows, out = [], []
     n = np.arange(len(prints))
     for half in (0, 1):
@@ -85,7 +85,7 @@ def keys(prints: np.ndarray, word: int = 0) -> tuple[np.ndarray, np.ndarray]:
         first[:, 1:] = indices[:, 1:] != indices[:, :-1]
         at, column = np.nonzero(first)
         rows += [at, n]
-        out += [(4 * word + 2 * half << 56) + (indices[at, column] << 9) + rest[at], (4 * word + 2 * half + 1 << 56) + segment]
+        out += [(2 * half << 56) + (indices[at, column] << 9) + rest[at], (2 * half + 1 << 56) + segment]
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -102,26 +102,18 @@ def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), joined), np.uint64)
 
 
-def majority(hashes: np.ndarray, multipliers: np.ndarray | None = None) -> np.ndarray:
-    """The word whose bits are those set in over half of the hashes; with multipliers one for each, of hashes mixed anew."""
-    ones = np.zeros(64 * (1 if multipliers is None else len(multipliers)), np.int64)
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are those set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255):  # 255 bits summed in a byte, eight bytes in one addition
-        some = hashes[at : at + 255, None]
-        some = some if multipliers is None else remixed(some, multipliers)
-        bits = np.unpackbits(np.ascontiguousarray(some).view(np.uint8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[at : at + 255, None].view(np.uint8), axis=1, bitorder="little")
         ones += bits.view(np.uint64).sum(axis=0).view(np.uint8)
-    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
-
-
-def remixed(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """Of a column of hashes a column of new ones for each multiplier."""
-    x = (hashes ^ hashes >> np.uint64(31)) * multipliers[None, :]
-    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) ^ x >> np.uint64(32)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
     """SimHash of a text's words: bit set if set in over half the XXH64 of its shingles, repeats included."""
-    return int(majority(shingle_hashes(words, shingle))[0])
+    return majority(shingle_hashes(words, shingle))
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,29 +249,6 @@ def simhash_components(
 
 # --- texts of a given similarity -------------------------------------------------------------
 
-#: Prints over shingles of SHORT words, from whose keys candidates come, and over the compared shingles.
-KEY_WORDS, CHECK_WORDS, SHORT = 8, 16, 2
-#: Differing bits, of 64, of a short-shingle print beyond which a candidate is not looked at further.
-LIGHT = 18
-#: The estimate from CHECK_WORDS prints is off by about 0.03; links are taken from this much below the threshold.
-SLACK = 0.04
-SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5 | 1) & (1 << 64) - 1 for i in range(KEY_WORDS + CHECK_WORDS)], np.uint64)
-
-
-def wide_fingerprint(words: list[bytes], shingle: int) -> tuple[bytes, bytes, int]:
-    """Prints over short shingles, prints over the distinct shingles, and how many of these there are."""
-    short = majority(shingle_hashes(words, SHORT), SPREAD[:KEY_WORDS])
-    distinct = np.unique(shingle_hashes(words, shingle))
-    return short.tobytes(), majority(distinct, SPREAD[KEY_WORDS:]).tobytes(), len(distinct)
-
-
-def similarity(differing: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of sets of a and b shingles, estimated from the differing bits of their prints."""
-    cosine = np.cos(np.pi * differing / (64 * CHECK_WORDS))
-    common = np.clip(cosine, 0, 1) * np.sqrt(a * b)
-    return np.where((a == 0) & (b == 0), 1.0, common / np.maximum(a + b - common, 1e-9))
-
-
 #: Texts in the sample that tells frequent shingles, how often one must be in it, and how many are held. They decide no result.
 SAMPLED, FREQUENT, MOST_FREQUENT = 8_192, 4, 100_000
 BUCKETS = 256

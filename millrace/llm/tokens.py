@@ -30,7 +30,12 @@ WORD_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ž]*")
 WORD_PIECES = re.compile(rf"[{LETTERS}]+|{CONTRACTIONS}|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 #: What WORD_PIECES stands for, as a tokenizer file writes it.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+#: What stands before the model, apart from a flag that only offsets depend on.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+WORD_CUT = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+#: Options of the model: others could make ids of a piece depend on more than the piece.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
 #: Words remembered by one worker; a bound on memory (about 200 bytes each), not on what is encoded.
 MEMORY = 400_000
@@ -38,15 +43,21 @@ SPECIAL = "<|"
 
 
 def family(spec: dict) -> str | None:
-    """"byte" or "word" if the pieces can be cut here exactly as the file says, else None."""
-    before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    """"byte" or "word" if the pieces can be cut here exactly as the file says, in every option that decides ids, else None."""
     if any(not t["content"].startswith(SPECIAL) for t in spec.get("added_tokens", [])) or spec.get("post_processor"):
         return None
-    if not norm and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+    model = spec["model"]
+    if any(model.get(k, v) != v for k, v in MODEL.items()):
+        return None
+
+    def before(given: dict | None) -> dict:
+        return {k: v for k, v in (given or {}).items() if k != "trim_offsets"}
+
+    cut = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") is None and before(cut) == BYTE_LEVEL:
         return "byte"
-    parts = before.get("pretokenizers") or [{}]
-    names = [x["type"] for x in norm.get("normalizers", [])]
-    if names == WORD_NORMALIZERS and parts[0].get("pattern") == {"Regex": WORD_PATTERN} and len(parts) == 2:
+    parts = cut.get("pretokenizers", []) if cut.get("type") == "Sequence" else []
+    if spec.get("normalizer") == WORD_NORMALIZER and list(map(before, parts)) == [WORD_CUT, BYTE_LEVEL | {"use_regex": False}]:
         return "word"
     return None
 

@@ -248,18 +248,3 @@ def test_similar_texts_against_all_pairs(spark):
         assert got[1_000] == got[1_001] == 1_000 and got[1_002] == got[1_003] == 1_002 and got[1_004] == 1_004 and got[None] == got[0]
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
     assert simhash.similar_components(documents(spark, [])).count() == 0
-
-
-def test_similarity_estimates():
-    rng = random.Random(13)
-    off = []
-    for _ in range(300):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-        copy = list(words)
-        for _ in range(rng.randrange(25)):
-            copy[rng.randrange(300)] = "x"
-        prints = [simhash.wide_fingerprint(" ".join(w).encode().split(), 5) for w in (words, copy)]
-        differing = sum((x ^ y).bit_count() for x, y in zip(*(np.frombuffer(p[1], "<u8").tolist() for p in prints), strict=True))
-        got = simhash.similarity(np.array([differing]), np.array([float(prints[0][2])]), np.array([float(prints[1][2])]))[0]
-        off.append(got - jaccard(" ".join(words), " ".join(copy)))
-    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.04
