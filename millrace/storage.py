@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +32,28 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
 
 
+#: Folders of the tables written, in order.
+_made: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back, so its lineage ends there."""
     path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns as a table; the tables that it wrote on the way are deleted."""
+    begin = len(_made)
+    out = materialise(make(), name)
+    for path in _made[begin:-1]:
+        delete(out.sparkSession, path)
+    _made[begin:-1] = []
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
