@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from millrace.storage import delete, discard, materialise, own_dir
+from millrace.storage import delete, discard, materialise, own_dir, settled
 
-__all__ = ["delete", "discard", "materialise", "only", "own_dir", "running_total", "salted_join", "sampled", "small", "spread", "table", "with_fields"]
+__all__ = ["delete", "discard", "materialise", "only", "own_dir", "running_total", "salted_join", "sampled", "settled", "small", "spread", "table", "with_fields"]
 
 #: Rows, and bytes of text, that a Python worker looks at together: its memory is bounded with long documents, too.
 TOGETHER_ROWS, TOGETHER_BYTES = 256, 8 << 20
@@ -30,7 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: a table of one small file would keep one core busy. Large tables stay as they are."""
+    """df over all cores: a table of one small file would keep one core busy. Large tables stay as they are.
+
+    So does what comes out of a shuffle, which adaptive execution spreads, and which would run to be asked.
+    """
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
