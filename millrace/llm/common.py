@@ -83,26 +83,26 @@ def salted_join(rows: DataFrame, values: DataFrame, key: str, deal: Sequence[str
 
 
 def running_total(df: DataFrame, order: str, value: str, total: str) -> DataFrame:
-    """Add ``total``: the sum of ``value`` over all rows before this one in ascending ``order``.
+    """Add ``total``: the sum of ``value`` over all rows before this one in ascending ``order``; nulls come first, equal values in any order.
 
-    Rows are dealt to ranges of ``order``; the driver gets one sum per range, and no task
-    sees more than its own range. Equal ``order`` values lie in one range, in any order.
+    Rows are dealt to ranges of ``order`` and, where many rows have one value, of a number of their own, so df must give its rows
+    in the same partitions whenever it is read. The driver gets one sum per range, and no task sees more than its own range.
     """
     spark = df.sparkSession
-    ranged = materialise(
-        df.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("__range", F.spark_partition_id()), "ranges"
-    )
+    keys = [F.col(order).asc_nulls_first(), F.col("__tie")]
+    ranged = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).withColumn("__range", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")
     before, sums = 0, []
     for row in ranged.groupBy("__range").agg(F.sum(value).alias("n")).orderBy("__range").collect():
         sums.append((row["__range"], before))
         before += row["n"] or 0
     offsets = spark.createDataFrame(sums, "__range int, __before long")
-    inside = Window.partitionBy("__range").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(F.broadcast(offsets), "__range")  # one row per partition
         .withColumn(total, (F.col("__before") + F.col("__inside")).cast("long"))
-        .drop("__range", "__before", "__inside")
+        .drop("__range", "__tie", "__before", "__inside")
     )
 
 

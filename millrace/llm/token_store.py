@@ -166,7 +166,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0,
         return hashes.map(lambda h: merkle(parts(h)))
 
     ordered = running_total(raw.select("id", "n_tokens", "hashes"), "id", "n_tokens", "start")
-    ordered = ordered.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    keys = [F.col("id").asc_nulls_first(), F.col("start")]  # start tells rows of one id apart
+    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered = ordered.select("id", "start", "n_tokens", "hashes", root("hashes").alias("root"), F.spark_partition_id().alias("range"))
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
     delete(spark, f"{path}/raw/part=recipes")

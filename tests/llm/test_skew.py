@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 from test_pairs import roots
 
-from millrace.llm.common import sampled, salted_join
+from millrace.llm.common import materialise, running_total, salted_join, sampled
 from millrace.llm.components import connected_components
 
 
@@ -42,3 +42,13 @@ def test_samples_are_bounded_whatever_repeats(spark):
     for rows in (one, nulls, repeated, one.union(nulls).union(repeated)):
         assert sampled(rows, 100, ["id", "text"]).count() <= 150
     assert 20 <= sampled(nulls, 100, ["id", "text"]).count() and sampled(one, 9_000, ["id", "text"]).count() == 1
+
+
+def test_running_totals_of_one_value(spark):
+    """Rows of one order value, or of none, lie in many ranges."""
+    for key in (F.lit(5).cast("long"), F.lit(None).cast("long"), F.col("id") % 3):
+        rows = materialise(spark.range(3_000).select(key.alias("k"), (1 + F.col("id") % 7).alias("v")), "rows")
+        got = running_total(rows, "k", "v", "t").orderBy("t").collect()
+        assert len(got) == 3_000 and got[0]["t"] == 0
+        assert all(a["t"] + a["v"] == b["t"] for a, b in zip(got, got[1:], strict=False))
+        assert [r["k"] for r in got] == sorted((r["k"] for r in got), key=lambda k: (k is not None, k or 0))
