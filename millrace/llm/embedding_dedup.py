@@ -26,8 +26,9 @@ from millrace.llm.common import discard, materialise, only, salted_join, spread
 from millrace.llm.components import connected_components
 from millrace.llm.simhash import in_blocks, whole_blocks
 
-#: Directions a random vector reaches on average in a code, and how many a vector goes to at least.
-REACHED, LIST = 6, 4
+#: Directions a random vector reaches on average in a code, and how many a vector goes to at least. Few reached and several at
+#: least give the fewest filters for the same misses.
+REACHED, LIST = 1, 4
 #: The least SIZE, and the greatest with two blocks; three blocks have no greatest.
 LEAST_SIZE, TWO_BLOCKS = 64, 4096
 #: Pairs at the threshold missed, as a share, at most; random pairs it is measured on; fewest and most codes.
@@ -238,7 +239,7 @@ def embedding_components(
     met = in_blocks(met, "key", "node", block, alone=False).select("key", "block", "node", "filter", "own", "cross")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each block: its members, and a digest of these."""
+        """One row for each block: its members, a digest of these, and where it is dealt: by its first member, or by itself if two chunks meet."""
         import xxhash
 
         for t in whole_blocks(batches):
@@ -246,50 +247,60 @@ def embedding_components(
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block_[1:] != block_[:-1])])
             out = []
             for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                chunk = own[a:z] if cross[a:z].any() else np.full(z - a, -1)
+                met_chunks = bool(cross[a:z].any())
                 if z - a > 1:
-                    members = node[a:z].tobytes() + chunk.astype("<i8").tobytes()
-                    out.append((xxhash.xxh3_128_digest(members), int(filter_[a]), int(key[a]), members))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["digest", "filter", "key", "members"])
+                    members = node[a:z].tobytes() + (own[a:z] if met_chunks else np.full(z - a, -1)).astype("<i8").tobytes()
+                    digest = xxhash.xxh3_128_digest(members)
+                    out.append((digest, int(filter_[a]), int.from_bytes(digest[:8], "little", signed=True) if met_chunks else int(node[a]), members))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["digest", "filter", "deal", "members"])
 
-    groups = met.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(grouped, "digest binary, filter long, key long, members binary")
+    groups = met.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(grouped, "digest binary, filter long, deal long, members binary")
     # Vectors close to each other share many filters, and blocks of the same members need one look: that of the first filter,
     # since a pair counts in the first that it shares.
-    groups = groups.groupBy("digest").agg(F.min(F.struct("filter", "key", "members")).alias("first"))
-    groups = materialise(groups.select(F.monotonically_increasing_id().alias("group"), "first.filter", "first.members"), "groups")
+    groups = groups.groupBy("digest").agg(F.min(F.struct("filter", "deal", "members")).alias("first"))
+    groups = materialise(groups.select("first.deal", "first.filter", "first.members"), "groups")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [np.frombuffer(x, "<i8").reshape(2, -1) for x in b.column(2).to_pylist()]
-            n = np.array([h.shape[1] for h in held], np.int64)
-            take = pa.array(np.repeat(np.arange(len(held)), n))
-            both = np.concatenate([np.empty((2, 0), np.int64), *held], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(both[0]), pa.array(both[1])], ["group", "filter", "node", "chunk"])
-
-    members = groups.mapInArrow(listed, "group long, filter long, node long, chunk long").join(decoded, "node")
-    members = members.select("group", F.lit(0).alias("block"), "filter", "chunk", "node", "label", "raw", "filters", "copies").repartition("group").sortWithinPartitions("group")
+            held = [np.frombuffer(x, "<i8").reshape(2, -1)[0] for x in b.column(1).to_pylist()]
+            deal = np.repeat(b.column(0).to_numpy(), [len(h) for h in held])
+            yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(np.concatenate([np.empty(0, np.int64), *held]))], ["deal", "node"])
+
+    # A vector goes once to each place that looks at it, and groups of close vectors, which have the same first member, are at one place:
+    # at most as many groups as that member has filters.
+    needed = groups.select("deal", "members").mapInArrow(listed, "deal long, node long").distinct().join(decoded, "node")
+    none, zero = F.array().cast("array<long>"), F.lit(0).cast("long")
+    sent = needed.select("deal", F.lit(0).alias("kind"), "node", "label", "raw", "filters", "copies", zero.alias("filter"), F.lit(None).cast("binary").alias("members"))
+    asked = groups.select("deal", F.lit(1).alias("kind"), zero.alias("node"), F.lit(None).cast(label).alias("label"), F.lit(None).cast("binary").alias("raw"), none.alias("filters"), zero.alias("copies"), "filter", "members")
+    places = sent.union(asked).repartition("deal").sortWithinPartitions("deal", "kind").select("deal", F.lit(0).alias("block"), "kind", "node", "label", "raw", "filters", "copies", "filter", "members")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_blocks(batches):
-            group, filter_, chunk, node, copies = (t.column(k).to_numpy() for k in ("group", "filter", "chunk", "node", "copies"))
-            label, raw, lists = t.column("label").to_pylist(), t.column("raw").to_pylist(), t.column("filters").combine_chunks()
+            deal, kind, node, copies, filter_ = (t.column(k).to_numpy() for k in ("deal", "kind", "node", "copies", "filter"))
+            label, raw, asked_of = (t.column(k).to_pylist() for k in ("label", "raw", "members"))
+            lists = t.column("filters").combine_chunks()
             ends, flat, found = lists.offsets.to_numpy(), lists.values.to_numpy(), []
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
-                # Members met by a hash: rows of another label or length that share it stay apart.
-                alike: dict[tuple, list[int]] = {}
-                for i in range(a, z):
-                    alike.setdefault((label[i], len(raw[i])), []).append(i)
-                for mine in alike.values():
-                    at = np.array(mine)
-                    v = scaled(np.stack([np.frombuffer(raw[i], byte) for i in mine]))
-                    count, root = verify([flat[ends[i] : ends[i + 1]] for i in mine], int(filter_[a]), v, copies[at], chunk[at] if chunk[a] >= 0 else None, least)
-                    linked = (count > 0) | (root != np.arange(len(at)))
-                    found.append((node[at][linked], count[linked], node[at[root[linked]]]))
+            starts = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]])
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(deal)], strict=True):
+                first = a + int(np.searchsorted(kind[a:z], 1))  # vectors come before groups
+                by_node = a + np.argsort(node[a:first])
+                for g in range(first, z):
+                    members, chunk = np.frombuffer(asked_of[g], "<i8").reshape(2, -1)
+                    at = by_node[np.searchsorted(node[by_node], members)]
+                    # Members met by a hash: rows of another label or length that share it stay apart.
+                    alike: dict[tuple, list[int]] = {}
+                    for k, i in enumerate(at.tolist()):
+                        alike.setdefault((label[i], len(raw[i])), []).append(k)
+                    for mine in alike.values():
+                        i = at[mine]
+                        v = scaled(np.frombuffer(b"".join([raw[x] for x in i]), byte).reshape(len(i), -1))
+                        count, root = verify([flat[ends[x] : ends[x + 1]] for x in i.tolist()], int(filter_[g]), v, copies[i], chunk[mine] if chunk[0] >= 0 else None, least)
+                        linked = (count > 0) | (root != np.arange(len(i)))
+                        found.append((node[i][linked], count[linked], node[i[root[linked]]]))
             columns = [np.concatenate([np.empty(0, np.int64), *(x[k] for x in found)]) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "root"])
 
-    links = materialise(members.mapInArrow(compare, "node long, n long, root long"), "links")
+    links = materialise(places.mapInArrow(compare, "node long, n long, root long"), "links")
     discard(decoded, groups)
     found = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("node").agg(F.sum("n").alias("links"))
