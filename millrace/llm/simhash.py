@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, only, salted_join, small, spread, with_fields
+from millrace.llm.common import discard, materialise, only, salted_join, small, spread, with_fields
 from millrace.llm.components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -166,6 +166,38 @@ def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def bounded_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """As ``whole_blocks``, with False; but a block of more than ``most`` rows comes in parts, with True: no more are held."""
+    held: list[pa.RecordBatch] = []
+    over = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, b])
+        held = []
+        if over is not None:
+            goes_on = (t.column(0).to_numpy() == over[0]) & (t.column(1).to_numpy() == over[1])
+            n = t.num_rows if goes_on.all() else int(goes_on.argmin())
+            if n:
+                yield t.slice(0, n), True
+            t = t.slice(n)
+            if not t.num_rows:
+                continue
+            over = None
+        key, block = t.column(0).to_numpy(), t.column(1).to_numpy()
+        whole = np.flatnonzero((key != key[-1]) | (block != block[-1]))
+        cut = int(whole[-1]) + 1 if len(whole) else 0
+        if cut:
+            yield t.slice(0, cut), False
+        if t.num_rows - cut > most:
+            over = (key[-1], block[-1])
+            yield t.slice(cut), True
+        else:
+            held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held), False
+
+
 def neighbours(key: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For lag 1, 2, ...: the rows whose lag-th next row is in the same block, until there is none."""
     at, lag = np.arange(len(key)), 1
@@ -252,6 +284,8 @@ def simhash_components(
 #: Texts in the sample that tells frequent shingles, how often one must be in it, and how many are held. They decide no result.
 SAMPLED, FREQUENT, MOST_FREQUENT = 8_192, 4, 100_000
 BUCKETS = 256
+#: Rows of a key beyond this many blocks are too many for a task to hold: they are dealt out by their exact number.
+LARGE = 8
 #: Groups of nodes that a task remembers as already sent, and rows looked at together.
 SENT, TOGETHER = 500_000, 1 << 14
 
@@ -383,12 +417,16 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
             met = np.minimum(own, other) * c + np.maximum(own, other)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at].view(np.int64), met, node[at], size[at].astype(np.int64) << 32 | place[at])], ["key", "block", "node", "at"])
 
-    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partnered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         sent: set[int] = set()
-        for t in whole_blocks(together(batches)):
+        for t, over in bounded_blocks(together(batches), most):
             key, block_, node, at_ = (c.to_numpy() for c in t.columns)
+            if over:  # a key more frequent than the sample said: its rows are counted and dealt to blocks
+                mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ block_.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()), pa.array(node), pa.array(mixed.view(np.int64)), pa.array(at_)], ["group", "node", "key", "at"])
+                continue
             size, left = at_ >> 32, (at_ >> 32) - (at_ & 0xFFFFFFFF)
             has = np.zeros(len(node), bool)
             for lag, at in neighbours(key, block_):
@@ -407,7 +445,8 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
                     group.append(np.full(hi - lo, g, np.uint64).view(np.int64))
                     member.append(node[lo:hi])
             if group:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), pa.array(np.concatenate(member))], ["group", "node"])
+                n = sum(map(len, member))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(group)), pa.array(np.concatenate(member)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["group", "node", "key", "at"])
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_blocks(together(batches)):
@@ -437,8 +476,12 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
             yield spanning_links(key, block_, node, near)
 
     keyed = nodes.select("node", "size", "first").mapInArrow(emit, "key long, block long, node long, at long")
-    met = keyed.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(partnered, "group long, node long")
-    groups = materialise(met.distinct(), "groups")
+    answer = "group long, node long, key long, at long"
+    met = materialise(keyed.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(lambda it: partnered(it, LARGE * block), answer), "met")
+    over = in_blocks(met.filter("group is null").select("key", "node", "at"), "key", "node", block).select("key", "block", "node", "at")
+    over = over.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(lambda it: partnered(it, 1 << 62), answer)
+    groups = materialise(met.filter("group is not null").union(over).select("group", "node").distinct(), "groups")
+    discard(met)
     sized = groups.join(nodes.select("node", "size", "sketch"), "node").select("group", F.lit(0).cast("long").alias("block"), "node", "size", "sketch")
     loose = connected_components(sized.repartition("group").sortWithinPartitions("group").mapInArrow(bounded, "a long, b long"))
     members = materialise(loose, "members")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_pairs import documents, jaccard, roots
 
@@ -71,3 +73,31 @@ def test_pairs_below_are_not_linked(spark):
     pairs = [jaccard(texts[i], texts[j]) for k in range(0, len(texts), 3) for i, j in ((k, k + 1), (k, k + 2))]
     assert sum(0.6 <= x < 0.8 for x in pairs) > 60
     check(spark, texts)
+
+
+def test_keys_more_frequent_than_the_sample_said(spark, monkeypatch):
+    """A passage that many texts share, no key of which is known to be frequent: its rows are counted and dealt out."""
+    monkeypatch.setattr(simhash, "frequent_shingles", lambda given, shingle: (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    monkeypatch.setattr(simhash, "TOGETHER", 16)
+    rng = random.Random(31)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows, twin = [], {}
+    for i in range(240):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+        rows.append((i, f"{shared} {own}"))
+        if i % 12 == 0:
+            twin[1_000 + i] = i
+            rows.append((1_000 + i, f"{shared} {own} more"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), block=3).collect()}
+    assert got == {i: twin.get(i, i) for i, _ in rows}
+
+
+def test_blocks_too_large_come_in_parts():
+    sizes = [3, 1, 50, 2, 30, 1]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    t = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int64)), pa.array(np.arange(len(key)))], ["key", "block", "n"])
+    got = list(simhash.bounded_blocks(iter([t.slice(i, 7) for i in range(0, len(key), 7)]), 12))
+    assert [n for b, _ in got for n in b.column(2).to_pylist()] == list(range(len(key)))
+    assert {k for b, over in got for k in b.column(0).to_pylist() if over} == {2, 4} and all(b.num_rows <= 19 for b, _ in got)
+    for b, over in got:
+        assert over or all(k not in (2, 4) for k in b.column(0).to_pylist())
