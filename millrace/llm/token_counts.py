@@ -62,7 +62,7 @@ def resync_count(enc: Encoder, text: str, chunk: int, overlap: int) -> int:
 
 
 def token_counts(
-    docs: DataFrame, tokenizer: str, *, limit: int = 512, chunk: int = 8_192, overlap: int = 512, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, *, limit: int = 512, chunk: int = 16_384, overlap: int = 1_024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: ``id_col``, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
