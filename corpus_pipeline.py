@@ -52,8 +52,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row of the smallest id of each group whose five-word shingles are alike to 0.8 or more."""
-    rows, labels = similar_rows(docs, shingle=5, least=0.8)
+    """A row of the smallest id of each group that links hold together: those of op6 (SimHash, 3 bits), and five-word shingles alike to 0.8 or more."""
+    rows, labels = similar_rows(docs, shingle=5, least=0.8, bits=3)
     return _without(rows, labels.filter("not chosen"), "row").select("payload.*")
 
 

@@ -239,6 +239,21 @@ def link_blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
         yield spanning_links(key, block, node, lambda i, j: np.bitwise_count(prints[i] ^ prints[j]) <= bits)  # noqa: B023
 
 
+def print_links(nodes: DataFrame, bits: int, block: int) -> DataFrame:
+    """Links a, b of nodes that span those of at most ``bits`` (0 to 3) differing bits, from one row for each distinct print: print, node."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, out = keys(b.column(0).to_numpy().view(np.uint64))
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(out), b.column(1).take(at), b.column(0).take(at)], ["key", "node", "print"])
+
+    keyed = nodes.select("print", "node").mapInArrow(emit, "key long, node long, print long")
+    met = in_blocks(keyed, "key", "print", block).select("key", "block", "node", "print")
+    met = met.repartition("key", "block").sortWithinPartitions("key", "block")
+    return met.mapInArrow(lambda it: link_blocks(it, bits), "a long, b long")
+
+
 def simhash_components(
     docs: DataFrame, *, shingle: int = 3, bits: int = 3, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -257,17 +272,7 @@ def simhash_components(
     # One row per distinct fingerprint from here on, which is its own node: whatever ids it has, it can link.
     nodes = made.groupBy("print").agg(F.min("__id").cast("long").alias("least_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.col("print"))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, out = keys(b.column(0).to_numpy().view(np.uint64))
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(out), b.column(1).take(at), b.column(0).take(at)], ["key", "node", "print"])
-
-    keyed = nodes.select("print", "node").mapInArrow(emit, "key long, node long, print long")
-    met = in_blocks(keyed, "key", "print", block).select("key", "block", "node", "print")
-    met = met.repartition("key", "block").sortWithinPartitions("key", "block")
-    edges = met.mapInArrow(lambda it: link_blocks(it, bits), "a long, b long")
-    found = connected_components(edges)
+    found = connected_components(print_links(nodes, bits, block))
     labels = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labels.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     labels = salted_join(labels, smallest, "component", ["print"]).select("print", "component_id", F.col("copies").alias("n"))
@@ -370,13 +375,17 @@ def frequent_shingles(given: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
     return often[order], found["n"].to_numpy(np.int64)[order] * every
 
 
-def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block: int = BLOCK // 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_rows(
+    docs: DataFrame, *, shingle: int = 5, least: float = 0.8, bits: int | None = None, block: int = BLOCK // 2, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): every row as payload with its own number ``row``; and per row: row, component_id, chosen.
 
     Texts link where the Jaccard similarity of their sets of shingle hashes is ``least`` or more, computed
     from the sets. Such sets share a hash of their prefixes, so no such pair is missed: rows that share
     one meet, are pruned by bounds that hold for every pair (sizes, places in the prefixes, sketches), and
     what bounds leave together is compared by its sets, each read once a group. Equal sets are one node from the start.
+    With ``bits`` the links of ``simhash_components`` (its fingerprints, keys and check) count as well: fingerprints weigh
+    repeats, which sets do not.
     component_id is the smallest id that links reach; chosen is one row of it, of that id.
     """
     given = docs.select(F.struct("*").alias("payload"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
@@ -388,16 +397,19 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
         import xxhash
 
         for b in small(batches):
-            digest, size, counts, first = [], [], [], []
+            digest, size, counts, first, prints = [], [], [], [], []
             for t in pc.cast(pc.fill_null(b.column(1), ""), pa.binary()).to_pylist():
                 h = shingle_set(t, shingle)
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
                 size.append(len(h))
                 counts.append(sketch(h).tobytes())
                 first.append(prefix(h, least, often, times).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(counts, pa.binary()), pa.array(first, pa.binary())], ["of", "digest", "size", "sketch", "first"])
+                prints.append(0 if bits is None else fingerprint(t.translate(LOWER).split(), 3))
+            columns = [pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(counts, pa.binary()), pa.array(first, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(np.array(prints, np.uint64).view(np.int64))], ["of", "digest", "size", "sketch", "first", "print"])
 
-    made = materialise(given.mapInArrow(hashed, with_fields(given, "of", "digest binary, size int, sketch binary, first binary")).select("of.*", "digest", "size", "sketch", "first"), "sets")
+    fields = with_fields(given, "of", "digest binary, size int, sketch binary, first binary, print long")
+    made = materialise(given.mapInArrow(hashed, fields).select("of.*", *fields.names[1:]), "sets")
     # A node is the first row of those with equal sets; only rows that are not are written down.
     equal = made.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = materialise(salted_join(made.select("row", "digest"), equal, "digest", ["row"]).filter("row <> node").select("row", "node"), "copies")
@@ -487,9 +499,15 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, block
     members = materialise(loose, "members")
     texts = nodes.select("node", F.col("payload").getField(text_col).alias("text")).join(members, "node").select("component", "node", "text")
     dealt = in_blocks(texts.mapInArrow(sets, "component long, node long, held binary"), "component", "node", block, counted=members).select("component", "block", "node", "held")
-    found = connected_components(dealt.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a long, b long"))
+    links = dealt.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a long, b long")
     # Slim rows from here on: each with its node's component, and of each component the row of the smallest id.
-    slim = made.select("row", "__id").join(copies, "row", "left").withColumn("node", F.coalesce("node", "row"))
+    slim = made.select("row", "__id", "print").join(copies, "row", "left").withColumn("node", F.coalesce("node", "row"))
+    if bits is not None:  # nodes of one print link to the least of them, which stands for the print
+        printed = materialise(slim.select("print", "node").distinct(), "printed")
+        stands = printed.groupBy("print").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+        alike = salted_join(printed, stands, "print", ["node"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        links = links.union(alike).union(print_links(stands.select("print", F.col("least").alias("node")), bits, BLOCK))
+    found = connected_components(links)
     slim = slim.join(found, "node", "left").select("row", "__id", F.coalesce("component", "node").alias("component"))
     first = slim.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("null"), "__id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
     labels = salted_join(slim, first, "component", ["row"]).select("row", F.col("first.__id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("chosen"))

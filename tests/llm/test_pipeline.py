@@ -3,8 +3,10 @@
 import random
 
 import corpus_pipeline
+from test_pairs import jaccard, roots
 
 from millrace.llm import queries
+from millrace.llm.simhash import fingerprint
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,3 +52,21 @@ def test_run_and_queries_on_a_small_table(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 50
     for name, query in queries.queries().items():
         assert query(spark, FOLDER).count() > 0, name
+
+
+def test_near_duplicates_are_those_of_fingerprints_and_of_sets(spark):
+    """Components of all pairs whose fingerprints differ in 3 bits at most or whose sets are alike to 0.8; some link by one of these only."""
+    rng, texts = random.Random(41), []
+    for g in range(12):
+        line, body, tail, end = ([f"{x}{rng.randrange(10**6)}" for _ in range(n)] for x, n in (("l", 40), ("b", 300), ("t", 30), ("e", 8)))
+        texts += [line * 60 + tail, line * 60 + tail[:10] + end * 2, line * 60 + tail[:10] + end]  # the middle one bridges
+        texts += [body, body[:270], body[:250] + tail]
+    texts = [" ".join(t) for t in texts] + ["", "...", None, None]
+    prints = [fingerprint((t or "").encode().split(), 3) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    by_print = {p for p in pairs if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 3}
+    by_set = {(i, j) for i, j in pairs if jaccard(texts[i] or "", texts[j] or "") >= 0.8 or not (texts[i] or texts[j])}
+    assert len(by_print - by_set) >= 10 and len(by_set - by_print) >= 10
+    docs = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [r["doc_id"] for r in corpus_pipeline.remove_near_duplicates(spark, docs, FOLDER).collect()]
+    assert sorted(kept) == sorted(set(roots(range(len(texts)), by_print | by_set).values()))
