@@ -32,6 +32,8 @@ SMOOTH = 0.2
 SCRIPT_SHARE = 0.02
 #: Words a worker remembers the scores of, and words that go through Viterbi together.
 MEMORY, AT_ONCE = 250_000, 1_200_000
+#: Rows, and bytes of them, that are held for one answer however few words they have; characters of words remembered, and learned together.
+HELD_ROWS, HELD_BYTES, MEMORY_CHARS, LEARN_CHARS = 1 << 16, 32 << 20, 8 << 20, 1 << 20
 UNKNOWN = "und"
 
 # First code points of Unicode's ranges, up to the next one, and their scripts.
@@ -145,10 +147,21 @@ class Scorer:
     """A worker's memory of words: their scores by language and their letters."""
 
     def __init__(self, model: Model):
-        self.model, self.at = model, {}
+        self.model, self.at, self.chars = model, {}, 0
         self.scores, self.letters = np.empty((0, len(model.langs)), np.float32), np.empty(0, np.int64)
 
     def learn(self, new: list[str]) -> None:
+        part, chars = [], 0
+        for w in new:  # few at a time: grams hold many numbers a character
+            if part and chars + len(w) > LEARN_CHARS:
+                self._learn(part)
+                part, chars = [], 0
+            part.append(w)
+            chars += len(w)
+        self._learn(part)
+
+    def _learn(self, new: list[str]) -> None:
+        self.chars += sum(map(len, new))
         word, bucket = grams(new)
         total = np.zeros((len(new), len(self.model.langs)), np.float32)
         for k in range(len(self.model.langs)):
@@ -162,8 +175,11 @@ class Scorer:
         self.at.update(zip(new, range(len(self.letters), len(self.letters) + len(new)), strict=True))
         self.scores, self.letters = np.concatenate([self.scores, total.astype(np.float32)]), np.concatenate([self.letters, letters])
 
+    def full(self) -> bool:
+        return len(self.at) > MEMORY or self.chars > MEMORY_CHARS
+
     def forget(self) -> None:
-        if len(self.at) > MEMORY:
+        if self.full():
             self.__init__(self.model)
 
 
@@ -233,7 +249,7 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, id_col: s
                     spans[i] = [{"lang": langs[mine[a]], "first": a, "last": z - 1} for a, z in zip(cut, cut[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.concat_arrays(columns), pa.array(pred), pa.array(share), pa.array(spans, span)], [id_col, "lang_pred", "score", "spans"])
 
-        columns, texts, held = [], [], 0
+        columns, texts, held, size = [], [], 0, 0
         for b in small(batches):
             words = [words_of(t) for t in pc.fill_null(b.column(1), "").to_pylist()]
             if new := list(set().union(*words).difference(scorer.at)):
@@ -242,9 +258,10 @@ def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, id_col: s
             texts += [np.fromiter(map(number, w), np.int64, len(w)) for w in words]
             columns.append(b.column(0))
             held += sum(map(len, words))
-            if held >= at_once or len(scorer.at) > MEMORY:
+            size += b.nbytes
+            if held >= at_once or len(texts) >= HELD_ROWS or size >= HELD_BYTES or scorer.full():
                 yield answer(columns, texts)
-                columns, texts, held = [], [], 0
+                columns, texts, held, size = [], [], 0, 0
                 scorer.forget()
         if columns:
             yield answer(columns, texts)

@@ -3,6 +3,7 @@
 import copy
 import json
 from collections import Counter
+from unittest.mock import Mock
 
 import numpy as np
 import public_tokenizers
@@ -112,3 +113,38 @@ def test_files_that_differ_go_to_the_library(kind, change, tmp_path):
 
 def test_the_files_there_are_cut_here():
     assert Encoder(public_tokenizers.path("byte_bpe_50k.json")).family == "byte" and Encoder(WORD).family == "word"
+
+
+@pytest.mark.parametrize("text", ["7" * 4_000, "haus", "", "abcdefgh" * 500], ids=["no letter", "one word", "empty", "one long word"])
+def test_language_answers_are_bounded_in_rows_and_bytes(monkeypatch, text):
+    """Texts of few words, however many rows or bytes, are not held until they have enough words."""
+    monkeypatch.setattr(langid, "HELD_ROWS", 3_000, raising=False)
+    monkeypatch.setattr(langid, "HELD_BYTES", 4 << 20, raising=False)
+    monkeypatch.setattr(langid, "only", lambda docs, columns: docs)
+    monkeypatch.setattr(langid, "spread", lambda docs: docs)
+    monkeypatch.setattr(langid, "with_fields", lambda *a: None)
+    model = langid.Model(["de", "en"], np.zeros((langid.BUCKETS, 2), np.float32), np.ones((2, len(langid.NAMES)), bool))
+    docs = Mock()
+    docs.sparkSession.sparkContext.broadcast = lambda m: Mock(value=m)
+    langid.identify(docs, model)
+    label = docs.mapInArrow.call_args.args[0]
+    given = (pa.RecordBatch.from_arrays([pa.array(range(a, a + 1_000)), pa.array([text] * 999 + [f"a{'bcdefg'[a // 1_000 % 6]}"])], ["doc_id", "text"]) for a in range(0, 10_000, 1_000))
+    got = list(label(given))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(10_000))
+    assert all(b.num_rows <= 3_000 + TOGETHER_ROWS and b.num_rows * len(text) <= (4 << 20) + TOGETHER_BYTES for b in got)
+    words = [langid.UNKNOWN if not any(map(str.isalpha, text)) else "de"] * 999 + ["de"]
+    assert [x for b in got for x in b.column(1).to_pylist()] == words * 10
+
+
+def test_words_are_learned_in_parts_with_the_same_scores(monkeypatch):
+    rng = np.random.default_rng(7)
+    model = langid.Model(["de", "en"], rng.normal(-9, 1, (langid.BUCKETS, 2)).astype(np.float32), np.ones((2, len(langid.NAMES)), bool))
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 60, 300)]
+    whole, parts = langid.Scorer(model), langid.Scorer(model)
+    whole.learn(words)
+    monkeypatch.setattr(langid, "LEARN_CHARS", 100)
+    parts.learn(words)
+    assert parts.at == whole.at and (parts.scores == whole.scores).all() and (parts.letters == whole.letters).all()
+    monkeypatch.setattr(langid, "MEMORY_CHARS", 1_000)
+    parts.forget()
+    assert not parts.at and not parts.chars
