@@ -12,13 +12,14 @@ apart have different parities, so they share an index; 6 indices are the most on
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from millrace.llm.common import discard, materialise, only, salted_join, small, spread, with_fields
 from millrace.llm.components import connected_components
@@ -128,15 +129,14 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
     return spread(only(docs, [id_col, text_col])).mapInArrow(hashed, with_fields(docs, id_col, "print long"))
 
 
-def in_blocks(keyed: DataFrame, key: str, member: str, block: int, counted: DataFrame | None = None, alone: bool = True) -> DataFrame:
+def in_blocks(keyed: DataFrame, key: str, member: str, block: int, alone: bool = True) -> DataFrame:
     """Add block, own, cross: rows of a key with more than ``block`` rows go to several blocks, so any two meet.
 
     own is a row's chunk of its key. Rows of different chunks meet in one block, whose cross is
     true; rows of one chunk meet in the one block whose cross is false, and also where it is true.
-    ``counted`` are slimmer rows of the same keys, if there are any, to count them by. Without ``alone`` rows that
-    are the only ones of their key are left out.
+    Without ``alone`` rows that are the only ones of their key are left out.
     """
-    counts = (keyed if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.filter(F.col("n") > (block if alone else 1)).withColumn("__c", F.ceil(F.col("n") / F.lit(block)).cast("long"))
     dealt = salted_join(keyed, counts, key, [member], how="left" if alone else "inner").withColumn("__c", F.coalesce("__c", F.lit(1).cast("long")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col(member)), F.col("__c")))
@@ -198,17 +198,30 @@ def bounded_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tup
         yield pa.Table.from_batches(held), False
 
 
-def neighbours(key: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For lag 1, 2, ...: the rows whose lag-th next row is in the same block, until there is none."""
+def neighbours(key: np.ndarray, block: np.ndarray, finished: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For lag 1, 2, ...: the rows whose lag-th next row is in the same block, until there is none.
+
+    ``finished`` is asked after lags 1, 2, 4, ... which of the blocks that begin at these rows need no more; they are left out then.
+    """
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+    starts, number = np.flatnonzero(new), np.cumsum(new) - 1
     at, lag = np.arange(len(key)), 1
-    while len(at := at[at + lag < len(key)]) and len(at := at[(key[at] == key[at + lag]) & (block[at] == block[at + lag])]):
+    while len(at := at[at + lag < len(key)]) and len(at := at[number[at] == number[at + lag]]):
         yield lag, at
+        if finished is not None and not lag & (lag - 1):
+            at = at[~finished(starts)[number[at]]]
         lag += 1
 
 
-def spanning_links(key: np.ndarray, block: np.ndarray, node: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
-    """Links a, b that span what ``near`` links within blocks; it is asked only for rows not yet together."""
+def spanning_links(
+    key: np.ndarray, block: np.ndarray, node: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], part: np.ndarray | None = None
+) -> pa.RecordBatch:
+    """Links a, b that span what ``near`` links within blocks; it is asked only for rows not yet together, as those of one ``part`` are at once."""
     parent = np.arange(len(node))
+    if part is not None and len(node):
+        _, first, of = np.unique(np.stack([key, block, part]), axis=1, return_index=True, return_inverse=True)
+        parent = first[of.ravel()]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -216,7 +229,10 @@ def spanning_links(key: np.ndarray, block: np.ndarray, node: np.ndarray, near: C
             x = parent[x]
         return x
 
-    for lag, rows in neighbours(key, block):
+    def united(starts: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(parent, starts) == np.maximum.reduceat(parent, starts)
+
+    for lag, rows in neighbours(key, block, united):
         apart = rows[parent[rows] != parent[rows + lag]]
         found = apart[near(apart, apart + lag)]
         for i in found.tolist():
@@ -291,6 +307,11 @@ SAMPLED, FREQUENT, MOST_FREQUENT = 8_192, 4, 100_000
 BUCKETS = 256
 #: Rows of a key beyond this many blocks are too many for a task to hold: they are dealt out by their exact number.
 LARGE = 8
+#: Bytes of sets, besides BLOCK rows, that are compared in one block at most (twice that where two chunks meet, or one set that is larger);
+#: rows of a large component that are held against its STANDS rows, and at most LEADERS, at once.
+HELD_BYTES, CHAIN, STANDS, LEADERS = 64 << 20, 256, 4, 16
+#: Rows from which on a block's rows with a partner are found by sorting.
+LONG = 64
 #: Groups of nodes that a task remembers as already sent, and rows looked at together.
 SENT, TOGETHER = 500_000, 1 << 14
 
@@ -325,6 +346,32 @@ def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, least:
     return out
 
 
+def has_partner(size: np.ndarray, left: np.ndarray, share: float) -> np.ndarray:
+    """Of each row, whether another has min(left, left) >= share * (size + size): by sorting, not pair by pair.
+
+    With reach = left / share - size this says that each one's size is within the other's reach.
+    """
+    reach = (left + 1e-6) / share - size
+    order = np.argsort(size, kind="stable")
+    r = reach[order]
+    best = np.maximum.accumulate(r)
+    at = np.searchsorted(best, best)  # where the greatest reach so far stands
+    but = np.full(len(r), -np.inf)  # the greatest but that one
+    new = at == np.arange(len(r))
+    but[1:] = np.maximum.accumulate(np.where(new[1:], best[:-1], r[1:]))
+    to = np.searchsorted(size[order], r, side="right") - 1  # the last row within reach
+    found = np.where(at[to] == np.arange(len(r)), but[to], best[to])
+    out = np.empty(len(r), bool)
+    out[order] = (to >= 0) & (found >= size[order])
+    return out
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether sets of hashes have Jaccard similarity ``least`` or more."""
+    common = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9 else 0
+    return common >= least * (len(a) + len(b) - common) - 1e-9
+
+
 def rarity(hashes: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
     """How often each hash is expected, 0 if it is not among the sorted frequent ones."""
     if not len(often):
@@ -441,7 +488,12 @@ def similar_rows(
                 continue
             size, left = at_ >> 32, (at_ >> 32) - (at_ & 0xFFFFFFFF)
             has = np.zeros(len(node), bool)
-            for lag, at in neighbours(key, block_):
+            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block_[1:] != block_[:-1])])
+            long = np.zeros(len(key), bool)
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+                if hi - lo > LONG:
+                    has[lo:hi], long[lo:hi] = has_partner(size[lo:hi], left[lo:hi], share), True
+            for lag, at in neighbours(key, block_, lambda starts: long[starts] | np.logical_and.reduceat(has, starts)):  # noqa: B023
                 at = at[~(has[at] & has[at + lag])]
                 # Where this is the first hash that two sets share, they share no more than what is left of both.
                 near = at[np.minimum(left[at], left[at + lag]) >= share * (size[at] + size[at + lag]) - 1e-6]
@@ -466,26 +518,46 @@ def similar_rows(
             counts = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(node), BUCKETS)
             yield spanning_links(key, block_, node, lambda i, j: may_reach(counts[i], counts[j], size[i].astype(np.int64), size[j].astype(np.int64), least))  # noqa: B023
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, 2):
-            held = [shingle_set(t, shingle).tobytes() for t in pc.cast(pc.fill_null(b.column(2), ""), pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.binary())], ["component", "node", "held"])
+    def with_sets(dealt: DataFrame) -> DataFrame:
+        """Columns of dealt, of which node is one, and the node's set of hashes, held."""
+        names = dealt.columns
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in small(batches, len(names)):
+                held = [shingle_set(t, shingle).tobytes() for t in pc.cast(pc.fill_null(b.column(len(names)), ""), pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(held, pa.binary())], [*names, "held"])
+
+        texts = nodes.select("node", F.col("payload").getField(text_col).alias("text")).join(dealt, "node").select(*names, "text")
+        return texts.mapInArrow(sets, StructType([*dealt.schema.fields, StructField("held", BinaryType())]))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_blocks(batches):
-            key, block_, node = (t.column(i).to_numpy() for i in range(3))
-            held = [np.frombuffer(x, np.uint64) for x in t.column(3).to_pylist()]
+            key, block_, node, part = (t.column(i).to_numpy() for i in range(4))
+            held = [np.frombuffer(x, np.uint64) for x in t.column(4).to_pylist()]
             size, counts = np.array([len(x) for x in held], np.int64), np.array([sketch(x) for x in held])
 
             def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 out = may_reach(counts[i], counts[j], size[i], size[j], least)  # noqa: B023
                 for k in np.flatnonzero(out).tolist():
-                    a, b = held[i[k]], held[j[k]]  # noqa: B023
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    out[k] = common >= least * (len(a) + len(b) - common) - 1e-9
+                    out[k] = similar(held[i[k]], held[j[k]], least)  # noqa: B023
                 return out
 
-            yield spanning_links(key, block_, node, near)
+            yield spanning_links(key, block_, node, near, part)
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaders = None, []
+        for b in batches:
+            found = []
+            for key, block_, node, held in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if (key, block_) != at:
+                    at, leaders = (key, block_), []
+                mine = np.frombuffer(held, np.uint64)
+                to = next((other for other, its in leaders if similar(mine, its, least)), None)
+                if to is not None:
+                    found.append((node, to))
+                elif len(leaders) < LEADERS:
+                    leaders.append((node, mine))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     keyed = nodes.select("node", "size", "first").mapInArrow(emit, "key long, block long, node long, at long")
     answer = "group long, node long, key long, at long"
@@ -496,10 +568,37 @@ def similar_rows(
     discard(met)
     sized = groups.join(nodes.select("node", "size", "sketch"), "node").select("group", F.lit(0).cast("long").alias("block"), "node", "size", "sketch")
     loose = connected_components(sized.repartition("group").sortWithinPartitions("group").mapInArrow(bounded, "a long, b long"))
-    members = materialise(loose, "members")
-    texts = nodes.select("node", F.col("payload").getField(text_col).alias("text")).join(members, "node").select("component", "node", "text")
-    dealt = in_blocks(texts.mapInArrow(sets, "component long, node long, held binary"), "component", "node", block, counted=members).select("component", "block", "node", "held")
-    links = dealt.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a long, b long")
+    members = materialise(loose.join(nodes.select("node", "size"), "node"), "members")
+    n, size, first = F.count(F.lit(1)), F.sum(F.col("size").cast("long") * 8), F.lit(0).cast("long")
+    stands = F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(STANDS)))
+    counts = members.groupBy("component").agg(n.alias("n"), F.ceil(F.greatest(n / F.lit(block), size / F.lit(HELD_BYTES))).cast("long").alias("c"), stands.alias("stands"))
+    large = materialise(counts.filter("c > 1"), "large")  # a row for so many rows or bytes: few
+    dealt, links = members.select("component", "node", F.col("node").alias("part"), F.array(first).alias("to")), []
+    if not large.isEmpty():
+        # Near copies by the thousand: each is first held against a few rows of its component, so that few are left to compare with all.
+        places, stand = F.ceil(F.col("n") / CHAIN).cast("long"), F.array_contains("stands", F.col("node"))
+        to = F.when(stand, F.sequence(first, places - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), places)))
+        begun = members.join(F.broadcast(large), "component")
+        row = with_sets(begun.select("component", "node", (~stand).alias("later"), to.alias("to")))
+        row = row.select("component", F.explode("to").alias("block"), "node", "held", "later")
+        row = row.repartition("component", "block").sortWithinPartitions("component", "block", "later", "node").drop("later")
+        links = [materialise(row.mapInArrow(led, "a long, b long"), "led")]
+        parts = connected_components(links[0]).select("node", F.col("component").alias("part"))
+        parts = materialise(begun.join(parts, "node", "left").select("component", "node", "size", "c", F.coalesce("part", "node").alias("part")), "parts")
+        by_part = parts.groupBy("component", "part").agg(n.alias("n"), size.alias("size"))
+        main = by_part.groupBy("component").agg(F.max(F.struct("n", "size", "part")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+        # Others than those of the largest part go to all its chunks, if they are few; else all chunks meet.
+        few = (F.col("n") - F.col("main.n") <= block) & (F.col("size") - F.col("main.size") <= HELD_BYTES)
+        main = materialise(main.select("component", F.col("main.part").alias("main"), few.alias("few"), (F.col("n") > F.col("main.n")).alias("open")), "main")
+        c, own = F.col("c"), F.pmod(F.xxhash64("node"), F.col("c"))
+        chunks = F.sequence(first, c - 1)
+        to = F.when(~F.col("few"), F.transform(chunks, lambda x: F.least(x, own) * c + F.greatest(x, own)))
+        to = to.when(F.col("part") == F.col("main"), F.array(own * c + own)).otherwise(F.transform(chunks, lambda x: x * c + x))
+        left = parts.join(F.broadcast(main), "component").filter("open").select("component", "node", "part", to.alias("to"))
+        dealt = dealt.join(F.broadcast(large.select("component")), "component", "left_anti").select(*left.columns).union(left)
+    dealt = with_sets(dealt).select("component", F.explode("to").alias("block"), "node", "part", "held")
+    links.append(dealt.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a long, b long"))
+    links = reduce(DataFrame.union, links)
     # Slim rows from here on: each with its node's component, and of each component the row of the smallest id.
     slim = made.select("row", "__id", "print").join(copies, "row", "left").withColumn("node", F.coalesce("node", "row"))
     if bits is not None:  # nodes of one print link to the least of them, which stands for the print

@@ -101,3 +101,44 @@ def test_blocks_too_large_come_in_parts():
     assert {k for b, over in got for k in b.column(0).to_pylist() if over} == {2, 4} and all(b.num_rows <= 19 for b, _ in got)
     for b, over in got:
         assert over or all(k not in (2, 4) for k in b.column(0).to_pylist())
+
+
+def test_blocks_that_are_together_are_left():
+    """Of 2,000 near copies in one block each is asked for once, not once for every lag."""
+    n, lags = 2_000, []
+    key = np.zeros(n, np.int64)
+
+    def near(i, j):
+        lags.append(len(i))
+        return np.ones(len(i), bool)
+
+    got = simhash.spanning_links(key, key, np.arange(n), near)
+    assert len(lags) <= 2 and sum(lags) == n - 1 and set(got.column(1).to_pylist()) == {0}
+
+
+@pytest.mark.parametrize("most", [dict(LEADERS=16), dict(LEADERS=1, STANDS=1), dict(HELD_BYTES=2_000)])
+def test_components_of_many_near_copies(spark, monkeypatch, most):
+    """Components are those of all pairs where one has more rows or bytes than a block."""
+    for name, value in (dict(CHAIN=8) | most).items():
+        monkeypatch.setattr(simhash, name, value)
+    rng, texts = random.Random(41), []
+    base = fresh(rng, 120)
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(120), (1, 1, 1, 4, 9)[i % 5]):
+            words[at] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(fresh(rng, 60)) for _ in range(20)]
+    check(spark, texts, block=10)
+
+
+def test_rows_with_a_partner_are_found_by_sorting():
+    """As pair by pair, for random sizes and places."""
+    rng, share = np.random.default_rng(42), 0.8 / 1.8
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        size = rng.integers(1, int(rng.integers(2, 200)), n)
+        left = size - (rng.random(n) * 0.3 * size).astype(np.int64)
+        near = np.minimum.outer(left, left) >= share * np.add.outer(size, size) - 1e-6
+        np.fill_diagonal(near, False)
+        assert (simhash.has_partner(size, left, share) == near.any(axis=1)).all()
